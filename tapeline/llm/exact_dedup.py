@@ -24,8 +24,15 @@ from pyspark.sql.utils import AnalysisException
 from tapeline.llm.common import ascii_lower
 from tapeline.session import materialise, work_path
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+STATE = "spark.sql.streaming.stateStore."
+#: The state is on disk; all stores of an executor share a bounded amount of memory and close soon after their query.
+STATE_CONF = {
+    STATE + "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    STATE + "rocksdb.boundedMemoryUsage": "true",
+    STATE + "rocksdb.maxMemoryUsageMB": "256",
+    STATE + "rocksdb.writeBufferSizeMB": "8",
+    STATE + "maintenanceInterval": "5s",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -59,8 +66,9 @@ def remember(spark: SparkSession, prints_path: str, schema, checkpoint: str, byt
     """Run the stream over the fingerprint files not seen before; return its whole state (digest, keeper, n).
 
     Call it again with the same `checkpoint` after files were added: state continues, only new files are read."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         seen = (
             spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(prints_path)
@@ -73,15 +81,15 @@ def remember(spark: SparkSession, prints_path: str, schema, checkpoint: str, byt
         )
         query.awaitTermination()
         state = spark.read.format("statestore").load(checkpoint)
+        keeper, n = (f.name for f in state.schema["value"].dataType.fields)
+        columns = F.col("key.digest").alias("digest"), F.col("value")[keeper].alias("keeper"), F.col("value")[n].alias("n")
+        return materialise(state.select(*columns), "dedup-seen")
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
-    keeper, n = (f.name for f in state.schema["value"].dataType.fields)
-    return state.select(
-        F.col("key.digest").alias("digest"), F.col("value")[keeper].alias("keeper"), F.col("value")[n].alias("n")
-    )
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def resolve(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
@@ -92,7 +100,7 @@ def resolve(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> Dat
     prints = fingerprints(docs, place, digest)
     prints.write.parquet(path)
     prints = spark.read.schema(prints.schema).parquet(path)
-    state = materialise(remember(spark, path, prints.schema, work_path(spark, "dedup-state")), "dedup-seen")
+    state = remember(spark, path, prints.schema, work_path(spark, "dedup-state"))
 
     # Full bytes of the rows that share a digest, against those of the row that stays.
     shared = state.where("n > 1")
