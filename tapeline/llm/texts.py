@@ -55,9 +55,10 @@ class Chunk:
         np.cumsum((_FOLDED if fold else _BYTE)[self.data] * power[: len(self.data)], out=sums[1:])
         return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * K3)
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start and end of each word, and the index of each text's first word (one more at the end)."""
-        full = ~SPACE[self.data]
+    def words(self, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and end of each word, and the index of each text's first word (one more at the end). `space` flags the
+        bytes that are in no word."""
+        full = ~space[self.data]
         inner = self.offsets[(self.offsets > 0) & (self.offsets < len(self.data))]
         first = full.copy()
         first[1:] &= ~full[:-1]
