@@ -25,13 +25,15 @@ from tapeline.llm.common import ascii_lower
 from tapeline.session import materialise, work_path
 
 STATE = "spark.sql.streaming.stateStore."
-#: The state is on disk; all stores of an executor share a bounded amount of memory and close soon after their query.
+#: The state is on disk; an executor's stores share a bounded amount of memory, and each closes when its task has committed
+#: (an open one reserves 4 MB of disk whatever it holds).
 STATE_CONF = {
     STATE + "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     STATE + "rocksdb.boundedMemoryUsage": "true",
     STATE + "rocksdb.maxMemoryUsageMB": "256",
     STATE + "rocksdb.writeBufferSizeMB": "8",
     STATE + "maintenanceInterval": "5s",
+    STATE + "unloadOnCommit": "true",
 }
 
 
