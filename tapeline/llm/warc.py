@@ -19,6 +19,7 @@ characters and spaces of a url are percent-encoded. Repeated rows: the later is
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -32,6 +33,7 @@ from tapeline.session import work_path
 #: Fixed values of the WARC 1.1 and HTTP formats.
 END, PROFILE = "\r\n", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+GZIP = b"\x1f\x8b"
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -98,7 +100,8 @@ def records(pages: DataFrame, revisit_bytes: int = 0, date: str = DATE) -> DataF
 
 
 def write(pages: DataFrame, path: str, **options) -> None:
-    records(pages, **options).write.option("lineSep", END + END).text(path)
+    """Write archives below `path`, each compressed as a whole (fast, at about a third of the size)."""
+    records(pages, **options).write.option("lineSep", END + END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def parse(data: memoryview) -> Iterator[tuple[dict[str, str], memoryview]]:
@@ -127,7 +130,8 @@ def _records(with_blocks: bool):
         for batch in batches:
             for content in batch.column("content"):
                 held, size = [], 0
-                for headers, block in parse(memoryview(content.as_py())):
+                data = content.as_py()
+                for headers, block in parse(memoryview(gzip.decompress(data) if data[:2] == GZIP else data)):
                     kind, payload, fields = headers["warc-type"], None, None
                     if kind == "response":
                         payload = bytes(block).partition(b"\r\n\r\n")[2]
