@@ -152,11 +152,15 @@ class Mix:
             .withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")),
             "mix-sources",
         )
-        block = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("blocks"))
-        placed = sized.join(self.sources.select(F.col("source").alias("s"), "source_no", "blocks", "source_size", "target", "passes"), sized.source.eqNullSafe(F.col("s")))
-        self.placed = placed.withColumn("block", block).select("doc_id", "source", "source_no", "block", "size", "source_size", "target", "passes")
+        self.placed = self._place(sized)
         self._last_pass()
 
+    def _place(self, rows: DataFrame) -> DataFrame:
+        """`rows` (doc_id, source, size and others) with the block of each and the figures of its source."""
+        figures = self.sources.select(F.col("source").alias("s"), "source_no", "blocks", "source_size", "target", "passes", (F.col("rest") > 0).alias("open"))
+        placed = rows.join(figures, rows.source.eqNullSafe(F.col("s"))).withColumn("block", F.pmod(F.xxhash64(F.lit(self.seed), "doc_id"), F.col("blocks")))
+        return placed.drop("s", "blocks")
+
     def _last_pass(self) -> None:
         """Which blocks the last pass takes whole, and which documents of the next block."""
         sums = materialise(self.placed.groupBy("source_no", "block").agg(F.sum("size").alias("words")), "mix-blocks")
@@ -200,19 +204,18 @@ class Mix:
             filled.select("source_no", F.explode(F.aggregate("xs", start, fit, close)).alias("doc_id")).distinct(), "mix-parts"
         )
 
-    def taken(self) -> DataFrame:
-        """One row per document: doc_id, source, size, source_size, target, takes (how often), taken (words)."""
-        edge = self.edge.select(F.col("source_no"), "edge_block")
+    def taken(self, placed: DataFrame | None = None) -> DataFrame:
+        """Placed rows with `takes`: how often the mix takes each."""
+        edge = self.edge.select(F.col("source_no").alias("e_no"), "edge_block")
         part = self.parts.select(F.col("source_no").alias("p_no"), F.col("doc_id").alias("p_id"))
-        whole = F.col("edge_block").isNull() | (F.col("block") < F.col("edge_block"))
-        rest = self.sources.select("source_no", (F.col("rest") > 0).alias("open"))
-        joined = (
-            self.placed.join(edge, "source_no", "left").join(rest, "source_no")
-            .join(part, (F.col("source_no") == F.col("p_no")) & F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("block") == F.col("edge_block")), "left")
+        placed = self.placed if placed is None else placed
+        joined = placed.join(edge, F.col("source_no") == F.col("e_no"), "left").join(
+            part, (F.col("source_no") == F.col("p_no")) & F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("block") == F.col("edge_block")), "left"
         )
-        once = F.col("open") & (whole | F.col("p_no").isNotNull()) & (F.col("size") > 0)
-        takes = F.col("passes") + F.when(F.col("source_size") * F.col("passes") >= F.col("target"), 0).otherwise(once.cast("long"))
-        return joined.withColumn("takes", F.when(F.col("size") > 0, takes).otherwise(0)).withColumn("taken", F.col("takes") * F.col("size"))
+        whole = F.col("edge_block").isNull() | (F.col("block") < F.col("edge_block"))
+        once = F.col("open") & (whole | F.col("p_no").isNotNull())
+        takes = F.when(F.col("size") > 0, F.col("passes") + once.cast("long")).otherwise(0)
+        return joined.withColumn("takes", takes).drop("e_no", "edge_block", "p_no", "p_id")
 
     def draws(self) -> DataFrame:
         """The tree's outcome: (source_no, shard, lo, hi), the run [lo, hi) of a source's draws that a shard gets. Draw i is
@@ -227,41 +230,40 @@ class Mix:
             .select("source_no", "shard", (F.col("hi") - F.col("quota")).alias("lo"), "hi").where("hi > lo")
         )
 
-    def copies(self) -> DataFrame:
-        """One row per taken copy: doc_id, source, pass, shard, and its order inside the shard."""
-        taken = self.taken().where("takes > 0").select("doc_id", "source", "source_no", "block", "takes")
-        runs = self.draws().join(self.sources.select("source_no", "blocks", F.col("passes").alias("full")), "source_no")
-        # A run touches few passes; each gives the piece of blocks that it covers there, cut at chunks so that it joins by equality.
+    def copies(self, placed: DataFrame | None = None) -> DataFrame:
+        """A row for every copy that the shards draw: the placed row, its pass, shard, and order inside the shard."""
+        runs = self.draws().join(self.sources.select("source_no", "blocks"), "source_no")
+        # A run touches few passes; each gives the piece of blocks that it covers there.
         pieces = (
             runs.withColumn("pass", F.explode(F.sequence(F.floor(F.col("lo") / F.col("blocks")), F.floor((F.col("hi") - 1) / F.col("blocks")))))
             .withColumn("from", F.greatest(F.col("lo") - F.col("pass") * F.col("blocks"), F.lit(0)))
             .withColumn("to", F.least(F.col("hi") - F.col("pass") * F.col("blocks"), F.col("blocks")))
-            .select("source_no", "shard", "pass", F.explode(F.sequence(F.col("from"), F.col("to") - 1)).alias("block"))
-        )
-        each = taken.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("takes") - 1)))
-        return each.join(pieces, ["source_no", "block", "pass"]).select(
-            "doc_id", "source", "pass", "shard", F.xxhash64(F.lit(self.seed), "shard", "doc_id", "pass").alias("order_in_shard")
+            .select(F.col("source_no").alias("d_no"), "shard", F.col("pass").alias("d_pass"), F.explode(F.sequence(F.col("from"), F.col("to") - 1)).alias("d_block"))
         )
+        pieces = materialise(pieces, "mix-draws")
+        each = self.taken(placed).where("takes > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("takes") - 1)))
+        drawn = each.join(pieces, (F.col("source_no") == F.col("d_no")) & (F.col("block") == F.col("d_block")) & (F.col("pass") == F.col("d_pass")))
+        return drawn.drop("d_no", "d_block", "d_pass").withColumn("order_in_shard", F.xxhash64(F.lit(self.seed), "shard", "doc_id", "pass"))
 
 
 def mix_summary(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken per document, from the copies that the shards drew."""
-    mix = Mix(docs, **options)
-    counts = mix.copies().groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.select(F.col("source").alias("c_source"), F.col("doc_id").alias("c_id"), "n")
-    placed = mix.placed
-    # Rows that share source and doc_id share their copies; the count is per row of the group.
-    twins = placed.where("size > 0").groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    twins = twins.select(F.col("source").alias("t_source"), F.col("doc_id").alias("t_id"), "rows")
-    joined = placed.join(counts.join(twins, counts.c_source.eqNullSafe(twins.t_source) & counts.c_id.eqNullSafe(twins.t_id)), placed.source.eqNullSafe(F.col("c_source")) & placed.doc_id.eqNullSafe(F.col("c_id")), "left")
-    n = F.coalesce((F.col("n") / F.col("rows")).cast("long"), F.lit(0))
-    return joined.select("doc_id", "size", "source_size", "target", (n * F.col("size")).alias("taken"))
-
-
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of `docs`, each row as often as it was taken, shard by shard in local order."""
     made = Mix(docs, **options)
-    copies = made.copies().select(F.col("doc_id").alias("_c_id"), F.col("source").alias("_c_source"), F.col("shard").alias("_shard"), F.col("order_in_shard").alias("_order"))
-    columns = [F.col(c) for c in docs.columns]
-    rows = docs.join(copies, docs.doc_id.cast("long").eqNullSafe(F.col("_c_id")) & docs.source.cast("string").eqNullSafe(F.col("_c_source")))
-    return rows.repartition("_shard").sortWithinPartitions("_shard", "_order").select(*columns)
+    # Rows that share source and doc_id share their draws: one number for all of them.
+    counts = made.copies().groupBy("source_no", "doc_id").agg(F.countDistinct("pass").alias("n"))
+    counts = counts.select(F.col("source_no").alias("c_no"), F.col("doc_id").alias("c_id"), "n")
+    joined = made.placed.join(counts, (F.col("source_no") == F.col("c_no")) & F.col("doc_id").eqNullSafe(F.col("c_id")), "left")
+    return joined.select("doc_id", "size", "source_size", "target", (F.coalesce("n", F.lit(0)) * F.col("size")).alias("taken"))
+
+
+def mix(docs: DataFrame, slices: int = 4, **options) -> DataFrame:
+    """The mix itself: the columns of `docs`, each row as often as it was taken, shard by shard in local order.
+
+    Draws are joined to the rows by block, so texts are moved once, to their shard (dealt in `slices` of its order)."""
+    made = Mix(docs, **options)
+    rows = docs.select(
+        F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+        F.coalesce(F.col("text").rlike(WORD), F.lit(False)).cast("long").alias("size"),
+    )
+    copies = made.copies(made._place(rows)).select("row", "shard", "order_in_shard", F.pmod("order_in_shard", F.lit(slices)).alias("slice"))
+    return copies.repartition("shard", "slice").sortWithinPartitions("shard", "slice", "order_in_shard").select("row.*")
