@@ -157,7 +157,8 @@ def fit(docs: DataFrame, labels: DataFrame, curve_rows: int = CURVE_ROWS) -> Mod
     """Learn from the rows of `docs` (doc_id, text) that `labels` (doc_id, toxic) marks and that aren't held out."""
     spark = docs.sparkSession
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    marked = lambda which: docs.where(which).join(marks.where(which), "doc_id")
+    # Merged at every size: labels grow as documents do, so a plan that broadcasts them would not last.
+    marked = lambda which: docs.where(which).join(marks.where(which).hint("merge"), "doc_id")
     words = materialise(
         marked(fold(5) > 1).select("toxic", "text").mapInArrow(_count_words, "word long, stem int, rest int, bad long, good long")
         .groupBy("word", "stem", "rest").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")),
