@@ -150,6 +150,6 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
     docs, place = located(docs)
-    keep = resolve(docs).where("kept").select(F.col("place").alias("_kept_place"))
+    gone = resolve(docs).where("not kept").select(F.col("place").alias("_gone")).hint("merge")
     columns = docs.columns
-    return docs.withColumn("_kept_place_of", place).join(keep, F.col("_kept_place_of") == F.col("_kept_place"), "left_semi").select(*columns)
+    return docs.withColumn("_place_of", place).join(gone, F.col("_place_of") == F.col("_gone"), "left_anti").select(*columns)
