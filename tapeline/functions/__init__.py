@@ -1 +1 @@
-
+"""Column builders; no Python UDFs."""

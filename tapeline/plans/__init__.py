@@ -1 +1 @@
-
+"""Queries over the fixture tables and their oracles."""

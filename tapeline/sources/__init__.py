@@ -1 +1 @@
-
+"""Readers: media files, transcription results, log lines."""

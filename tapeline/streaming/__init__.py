@@ -1 +1 @@
-
+"""Log lines in Structured Streaming."""
