@@ -29,3 +29,18 @@ def fresh(df: DataFrame, stem: str) -> str:
     while name.lower() in have:
         name += "_"
     return name
+
+
+def every(df: DataFrame) -> list[Column]:
+    """All columns of `df`, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """The rows of `docs` whose `key` isn't in the one column of `gone`; rows with a null key stay. No column of `docs` can
+    clash with what the join needs. Merged at every size, so that the plan at scale is the plan everywhere."""
+    name = fresh(docs, "gone_key")
+    own = fresh(docs, "own_key")
+    held = gone.toDF(name).hint("merge")
+    columns = every(docs)
+    return docs.withColumn(own, key).join(held, F.col(own) == F.col(name), "left_anti").select(*columns)

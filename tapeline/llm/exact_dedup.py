@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from tapeline.llm.common import ascii_lower
+from tapeline.llm.common import ascii_lower, without
 from tapeline.session import materialise, work_path
 
 STATE = "spark.sql.streaming.stateStore."
@@ -47,14 +47,17 @@ def sha256(text: Column) -> Column:
 
 def located(docs: DataFrame) -> tuple[DataFrame, Column]:
     """`docs` and a column with each row's place, (file, row): hidden file metadata, or files written for it."""
-    place = F.struct(
-        F.xxhash64(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.row_index").alias("row")
-    )
+    def of(df: DataFrame) -> Column:
+        hidden = df.metadataColumn("_metadata")
+        place = F.struct(F.xxhash64(hidden["file_path"]).alias("file"), hidden["row_index"].alias("row"))
+        df.select(place)
+        return place
+
     try:
-        docs.select(place)
+        return docs, of(docs)
     except AnalysisException:
         docs = materialise(docs, "dedup-input")
-    return docs, place
+        return docs, of(docs)
 
 
 def fingerprints(docs: DataFrame, place: Column, digest: Callable[[Column], Column]) -> DataFrame:
@@ -150,6 +153,4 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
     docs, place = located(docs)
-    gone = resolve(docs).where("not kept").select(F.col("place").alias("_gone")).hint("merge")
-    columns = docs.columns
-    return docs.withColumn("_place_of", place).join(gone, F.col("_place_of") == F.col("_gone"), "left_anti").select(*columns)
+    return without(docs, place, resolve(docs).where("not kept").select("place"))

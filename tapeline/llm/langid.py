@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeline.llm import texts
-from tapeline.session import materialise
+from tapeline.llm.common import without
 
 BITS, AMBIGUOUS_BELOW, EVIDENCE = 13, 0.5, 400
 UNKNOWN = "und"
@@ -183,6 +183,4 @@ def identify(docs: DataFrame, ambiguous_below: float = AMBIGUOUS_BELOW) -> DataF
 
 def drop_unidentified(docs: DataFrame) -> DataFrame:
     """The rows of `docs` with a language: neither `und` nor ambiguous. Rows with a null doc_id can't be told apart and stay."""
-    gone = identify(docs).where(f"lang_pred = '{UNKNOWN}' or ambiguous").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = materialise(gone, "language-gone")  # its size is known to the join: few rows are broadcast, many are not
-    return docs.join(gone, docs.doc_id.cast("long") == F.col("_gone"), "left_anti")
+    return without(docs, F.col("doc_id").cast("long"), identify(docs).where(f"lang_pred = '{UNKNOWN}' or ambiguous").select("doc_id").distinct())

@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import WORD, unit
+from tapeline.llm.common import WORD, every, unit
 from tapeline.session import materialise
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -262,7 +262,7 @@ def mix(docs: DataFrame, slices: int = 4, **options) -> DataFrame:
     Draws are joined to the rows by block, so texts are moved once, to their shard (dealt in `slices` of its order)."""
     made = Mix(docs, **options)
     rows = docs.select(
-        F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+        F.struct(*every(docs)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         F.coalesce(F.col("text").rlike(WORD), F.lit(False)).cast("long").alias("size"),
     )
     copies = made.copies(made._place(rows)).select("row", "shard", "order_in_shard", F.pmod("order_in_shard", F.lit(slices)).alias("slice"))
