@@ -40,7 +40,7 @@ def test_pieces_and_places(spark, sf, group_items):
     rows = x.pack(docs, group_items=group_items).collect()
     n = check(rows, {r.doc_id: r.text for r in docs.collect()})
     least = -(-sum(r.length for r in rows) // 2048)
-    assert n <= least + (0 if group_items > 1000 else 2)
+    assert n <= least + 2
 
 
 def test_awkward_rows(awkward):
