@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +29,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = work_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors, once per application: their Python needs no copy of the repository."""
+    app, root = spark.sparkContext.applicationId, Path(__file__).resolve().parent
+    if app in _shipped or not root.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="tapeline-")) / "tapeline.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, Path(root.name) / file.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
