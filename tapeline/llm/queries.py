@@ -67,6 +67,20 @@ SELECT d.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size, d.doc_id
 FROM d JOIN g USING (body)
 """
 
+#: Base32 of a SHA-1: five hex digits are four symbols.
+_FIVE = "CAST('0x' || substr(h, {at}, 5) AS INTEGER)"
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({_FIVE.format(at=5 * i + 1)} >> {s}) & 31) + 1, 1)" for i in range(8) for s in (15, 10, 5, 0)
+)
+OP7_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+l AS (SELECT body, max(page_id) AS leader FROM p GROUP BY body)
+SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = leader THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = leader THEN NULL ELSE leader END AS refers_to
+FROM p JOIN l USING (body)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op7_warc": OP7_SQL}
