@@ -2,7 +2,7 @@
 
 Texts are equal when identical after lower-casing A-Z only; a null text counts as empty. Of equal texts the row with
 the largest doc_id stays; rows that also share the doc_id are told apart by their locator (file, row in file), so one
-row of a group stays, never two. A null doc_id counts as smaller than any other. No text, or no row: no result row.
+row of a group stays, never two. A null doc_id counts as smaller than any other. Empty table: no rows.
 
 The stream carries fingerprints only (about 60 bytes a row), never texts. Its state is the set of digests seen so far;
 it has no watermark, hence no expiry, and a later batch of files continues from the same checkpoint. A row whose digest
@@ -98,7 +98,7 @@ def remember(spark: SparkSession, prints_path: str, schema, checkpoint: str, byt
 
 
 def resolve(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """doc_id, place, digest, keep_id, group_size, kept for every row of `docs`; `docs` must have a `place` (see located)."""
+    """doc_id, place, digest, keep_id, group_size, kept for every row of `docs`."""
     spark = docs.sparkSession
     docs, place = located(docs)
     path = work_path(spark, "dedup-prints")
@@ -140,14 +140,12 @@ def resolve(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> Dat
 
 def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """One row per document, dropped ones too: doc_id, keep_id, group_size, kept, text_sha256."""
-    out = resolve(docs, digest)
-    sha = F.col("digest") if digest is sha256 else None
-    if sha is None:
-        docs, place = located(docs)
-        raise_on = docs.select(place.alias("place"), sha256(normalised(F.col("text"))).alias("text_sha256"))
-        out = out.join(raise_on, "place")
-        sha = F.col("text_sha256")
-    return out.select("doc_id", "keep_id", "group_size", "kept", sha.alias("text_sha256"))
+    columns = ["doc_id", "keep_id", "group_size", "kept"]
+    if digest is sha256:
+        return resolve(docs, digest).select(*columns, F.col("digest").alias("text_sha256"))
+    docs, place = located(docs)
+    shas = docs.select(place.alias("place"), sha256(normalised(F.col("text"))).alias("text_sha256"))
+    return resolve(docs, digest).join(shas, "place").select(*columns, "text_sha256")
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:

@@ -135,7 +135,7 @@ def split_tree(quotas: DataFrame, depth: int, seed: int = SEED) -> DataFrame:
 
 
 class Mix:
-    """The mix of `docs`: `documents` (one row per document with its takes) and `draws` (the block draws of each shard)."""
+    """The mix of `docs`: `placed` documents with their blocks, `draws` of the shards, and the `copies` that these draw."""
 
     def __init__(self, docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED):
         self.docs, self.seed, self.shard_words = docs, seed, shard_words

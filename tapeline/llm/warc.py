@@ -12,8 +12,8 @@ responses and metadata on the response's record id and emits one nested row per
 from the response that it refers to. Nothing is grouped by payload but the digests, with partial aggregates; the join back
 to a payload that a third of all captures share is split by adaptive execution.
 
-Null html: empty payload. Null url: empty target. Null page_id: the smallest, and null again after reading. Control
-characters and spaces of a url are percent-encoded. Repeated rows: the later is the response. Empty table: no rows.
+Null html: empty payload. Null url: empty target. Null page_id: the smallest, and null again after reading. Line ends,
+tabs and spaces of a url are percent-encoded, other control characters left out. Repeated rows: the later is the response. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -64,8 +64,8 @@ def records(pages: DataFrame, revisit_bytes: int = 0, date: str = DATE) -> DataF
     """`value`: the text of each record, three for each row of `pages` (page_id, url, html)."""
     pages, place = located(pages)
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
-    for code in (*range(33), 127):
-        url = F.replace(url, F.lit(chr(code)), F.lit(f"%{code:02X}")) if code in (9, 10, 13, 32) else url
+    for code in (9, 10, 13, 32):
+        url = F.replace(url, F.lit(chr(code)), F.lit(f"%{code:02X}"))
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(url, r"[\x00-\x1f\x7f]", "").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), place.alias("place")
     ).withColumn("sha", F.sha2("html", 256)).withColumn("size", F.octet_length("html"))
