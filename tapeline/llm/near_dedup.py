@@ -9,11 +9,9 @@ Words are runs without ASCII white space after lower-casing A-Z; a document's se
    exhaustively. Larger ones compare all members with a few pivots and branch on the minwise token of another
    permutation, drawn by the node, level after level. Trees are independent: a pair at the limit misses one tree with
    probability about 1 - 0.85, all ten with 6e-9.
-3. Nodes still large after the last level (dense groups, or a passage that makes up most of many documents) are
-   completed further. Members that share a rare shingle are paired by it; members that neither a pivot nor the most central
-   members turned out to be linked with are compared with all members, except where the rare shingles prove that a pair
-   can't reach the limit. That spares the fringe of a dense group.
-   Not covered: two members linked with different pivots that aren't linked themselves are not compared in that node.
+3. Members of nodes that are still large after the last level (dense groups, or a passage that makes up most of many
+   documents) are completed exactly, once the links of steps 1, 2 and 4 are known: a prefix-filter join on full sets finds
+   every pair of them that can be linked and lies in different components so far, and full sets confirm it.
 4. Candidates are ranked by the agreement of 128 16-bit minwise values; fewer than `agree` equal ones (88 of 128: a pair
    at the limit falls below with probability 1e-6) are no candidates. Confirmation on full sets first takes one pair a
    document, the closest, then every pair whose ends are still in different components. So a dense group costs about one
@@ -41,7 +39,7 @@ from tapeline.llm.common import without
 from tapeline.session import materialise
 
 TREES, SKETCH = 10, 128
-SMALL, PIVOTS, LEVELS, AGREE, PERCENT, RARE = 32, 2, 3, 88, 85, 32
+SMALL, PIVOTS, LEVELS, AGREE, PERCENT, BLOCK = 32, 2, 3, 88, 85, 256
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _FACTORS = _rng.integers(0, 2**31, SKETCH + TREES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -195,10 +193,9 @@ def _child(level: int) -> Column:
 class Join:
     """The join over `docs`: classes of equal sets, candidates, confirmed links and components."""
 
-    def __init__(self, docs: DataFrame, percent: int = PERCENT, small: int = SMALL, pivots: int = PIVOTS, levels: int = LEVELS, agree: int = AGREE, trees: int = TREES, rare: int = RARE):
+    def __init__(self, docs: DataFrame, percent: int = PERCENT, small: int = SMALL, pivots: int = PIVOTS, levels: int = LEVELS, agree: int = AGREE, trees: int = TREES):
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.percent, self.small, self.pivots, self.levels, self.agree, self.trees = percent, small, pivots, levels, agree, min(trees, TREES)
-        self.rare = rare
         self.signatures = materialise(signatures(docs), "near-signatures")
         self.classes = materialise(
             self.signatures.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sketch", "tokens")).alias("r"))
@@ -242,9 +239,8 @@ class Join:
             nodes = many.select("rep", "n", "sketch", _child(level).alias("node"))
         pairs = reduce(DataFrame.union, found)
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-        self.build_sets(ids if last is None else ids.union(last.select(F.col("rep").alias("id"))))
-        if last is not None:
-            pairs = pairs.union(self._completed(last, found[-1]))
+        self.large = None if last is None else last.select(F.col("rep").alias("id"))
+        self.build_sets(ids if last is None else ids.union(self.large))
         return materialise(pairs.groupBy("a", "b").agg(F.max("est").alias("est")), "near-candidates")
 
     def _with_pivots(self, many: DataFrame) -> DataFrame:
@@ -254,41 +250,32 @@ class Join:
         chosen = chosen.select("node", F.col("p.rep").alias("p_rep"), F.col("p.n").alias("p_n"), F.col("p.sketch").alias("p_sketch"))
         return many.join(chosen, "node").select("rep", "n", "sketch", "p_rep", "p_n", "p_sketch").mapInArrow(_across(self.percent, self.agree), PAIRS)
 
-    def _completed(self, many: DataFrame, pivot_pairs: DataFrame) -> DataFrame:
-        """Members of the last large nodes that no pivot is linked with, against all members of their node.
-
-        A shingle is rare if at most `rare` members have it. Members that share a rare shingle are paired by it. Others share
-        no rare one, so two sets that keep k and l common shingles share at most min(k, l), and a linked pair shares at least
-        percent / (100 + percent) of both sizes: few pairs of a dense group's fringe are left to compare."""
-        members = self.sets.join(many.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi")
-        shingles = members.select("id", F.explode("items").alias("item"))
-        times = shingles.groupBy("item").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") <= self.rare)
-        rare = materialise(shingles.join(times, "item"), "near-rare")
-        sharing = rare.where("times > 1").groupBy("item").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-        sharing = sharing.select(F.posexplode("ids").alias("at", "a"), "ids").select("a", F.explode(F.expr("slice(ids, at + 2, size(ids))")).alias("b"))
-        by_rare = materialise(sharing.distinct().select("a", "b", F.lit(0).alias("est")), "near-pairs")
-        own = rare.groupBy(F.col("id").alias("own_id")).agg(F.count(F.lit(1)).alias("own"))
-        kept = many.join(own, many.rep == F.col("own_id"), "left").withColumn("keeps", F.col("n") - F.coalesce("own", F.lit(0)))
-        kept = kept.where(100 * F.col("keeps") >= self.percent * F.col("n")).select("node", "rep", "n", "sketch", "keeps")
-        # Two members may share a node in several trees; the first of these compares them.
-        places = kept.groupBy(F.col("rep").alias("placed")).agg(F.sort_array(F.collect_set("node")).alias("nodes"))
-        kept = materialise(kept.join(places, kept.rep == F.col("placed")).drop("placed"), "near-members")
-
-        def against(others: DataFrame) -> DataFrame:
-            """Pairs of members with `others` of their node that can be linked and agree enough."""
-            others = others.select("node", *(F.col(c).alias(f"p_{c}") for c in ("rep", "n", "sketch", "keeps", "nodes")))
-            can = (100 + self.percent) * F.least("keeps", "p_keeps") >= self.percent * (F.col("n") + F.col("p_n"))
-            first = F.element_at(F.array_intersect("nodes", "p_nodes"), 1) == F.col("k.node")
-            meet = kept.alias("k").join(others.alias("l"), (F.col("k.node") == F.col("l.node")) & (F.col("rep") != F.col("p_rep")) & can & first)
-            return materialise(meet.select("rep", "n", "sketch", "p_rep", "p_n", "p_sketch").mapInArrow(_across(self.percent, self.agree), PAIRS), "near-pairs")
-
-        r = F.xxhash64("node", "rep")
-        best = [F.max(F.when(F.pmod(r, F.lit(self.pivots)) == i, F.struct((F.col("keeps") / F.col("n")).alias("share"), r.alias("r"), "rep", "n", "sketch", "keeps", "nodes"))) for i in range(self.pivots)]
-        central = kept.groupBy("node").agg(F.array_compact(F.array(*best)).alias("c")).select("node", F.explode("c").alias("c")).select("node", "c.rep", "c.n", "c.sketch", "c.keeps", "c.nodes")
-        central_pairs = against(central)
-        links = self.confirmed(pivot_pairs.union(central_pairs).select("a", "b").distinct())
-        linked = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
-        return by_rare.union(central_pairs).union(against(kept.join(linked, kept.rep == linked.id, "left_anti")))
+    def _completed(self, members: DataFrame, labels: DataFrame) -> DataFrame:
+        """Candidates (a, b) among `members` (id) whose ends are in different components of `labels`, by prefix filtering.
+
+        Shingles are ordered by the number of members that have them, rarest first. Linked sets share one of the first
+        n - ceil(percent * n / 100) + 1 of each, and what follows their first common one is long enough for the overlap
+        that they need. Members of a shingle are dealt into blocks, and each pair of blocks is a group of its own."""
+        sets = self.sets.join(members.distinct().hint("merge"), "id", "left_semi")
+        shingles = sets.select("id", F.size("items").alias("n"), F.explode("items").alias("item"))
+        times = shingles.groupBy("item").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+        common = shingles.join(times.hint("merge"), "item").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("times", "item"))).alias("rest"))
+        # The n - size(rest) shingles that only one member has come first and meet nothing.
+        length = F.col("n") - F.ceil(F.lit(self.percent) * F.col("n") / 100) + 1
+        common = common.withColumn("alone", F.col("n") - F.size("rest")).where(F.col("alone") < length)
+        heads = common.select("id", "n", "alone", F.posexplode(F.slice("rest", F.lit(1), (length - F.col("alone")).cast("int"))).alias("at", "s"))
+        heads = heads.join(labels.hint("merge"), heads.id == labels.v, "left")
+        heads = materialise(heads.select("id", "n", F.coalesce("label", "id").alias("label"), (F.col("n") - F.col("alone") - F.col("at")).alias("left"), F.col("s.item").alias("item")), "near-prefixes")
+        held = heads.groupBy("item").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("low < high")
+        heads = heads.join(held.drop("low", "high").hint("merge"), "item").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        heads = materialise(heads, "near-prefixes")
+        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        a = heads.select("item", F.col("block").alias("p"), every.alias("q"), F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), F.col("left").alias("left_a"))
+        b = heads.select("item", every.alias("p"), F.col("block").alias("q"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("left").alias("left_b"))
+        can = (100 + self.percent) * F.least("left_a", "left_b") >= self.percent * (F.col("n_a") + F.col("n_b"))
+        near = 100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")
+        met = a.join(b.hint("merge"), ["item", "p", "q"]).where((F.col("label_a") < F.col("label_b")) & can & near)
+        return materialise(met.select("a", "b").distinct(), "near-open")
 
     def labels(self) -> DataFrame:
         """(v, label) for the representatives that are linked with another."""
@@ -300,6 +287,12 @@ class Join:
         open_ = pairs.join(closest, ["a", "b"], "left_anti").join(left, "a", "left").join(right, "b", "left")
         open_ = materialise(open_.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"), "near-open")
         more = materialise(self.confirmed(open_), "near-links")
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = components(links)
+        if self.large is None:
+            return labels
+        more = materialise(self.confirmed(self._completed(self.large, labels)), "near-links")
         return labels if more.isEmpty() else components(links.union(more))
 
     def result(self) -> DataFrame:

@@ -74,3 +74,31 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     labels = {r.v: r.label for r in x.components(edges).collect()}
     assert all(labels[i] == 0 for i in range(41)) and labels[101] == 100
+
+
+def bridged(k):
+    """Two groups of copies that are linked by one pair only, all of whose common shingles many members have."""
+    spots = range(10, 100, 10)
+    mixed = lambda second: [f"y{k}x{j}" if j in second else f"x{k}x{j}" if j in spots else f"b{k}x{j}" for j in range(200)]
+    rows = [mixed(spots[:3]), mixed(spots[:6]), *(mixed(second) for second in ((), spots) for _ in range(60))]
+    for i, words in enumerate(rows):
+        words[140 + i % 50] = f"e{k}x{i}"
+    return [(k * 1000 + (i * 37 + 5) % 499, " ".join(words)) for i, words in enumerate(rows)]
+
+
+def parted(docs, rows, got, trees):
+    """Linked pairs that share a node of level 0 but not a component."""
+    tokens = {r.doc_id: r.tokens[:trees] for r in x.signatures(docs).collect()}
+    s = {i: sets(t) for i, t in rows}
+    return [
+        (a, b) for a in s for b in s
+        if a < b and got[a] != got[b] and any(p == q for p, q in zip(tokens[a], tokens[b], strict=True))
+        and 100 * len(s[a] & s[b]) >= 85 * len(s[a] | s[b])
+    ]
+
+
+def test_linked_members_of_a_large_last_node_are_compared(spark):
+    rows = [row for k in range(4) for row in bridged(k)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in x.near_dedup(docs, levels=0, trees=2).collect()}
+    assert not parted(docs, rows, got, 2)
