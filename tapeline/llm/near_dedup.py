@@ -7,17 +7,18 @@ Words are runs without ASCII white space after lower-casing A-Z; a document's se
 1. Documents with equal sets are one class, represented by its smallest doc_id.
 2. Every tree puts a representative into the node of its minwise token. Nodes of up to `small` members are compared
    exhaustively. Larger ones compare all members with a few pivots and branch on the minwise token of another
-   permutation, drawn by the node, level after level. Trees are independent: a pair at the limit misses one tree with
-   probability about 1 - 0.85, all ten with 6e-9.
-3. Members of nodes that are still large after the last level (dense groups, or a passage that makes up most of many
-   documents) are completed exactly, once the links of steps 1, 2 and 4 are known: a prefix-filter join on full sets finds
-   every pair of them that can be linked and lies in different components so far, and full sets confirm it.
+   permutation, drawn by the node, level after level. Trees are independent: a pair at the limit shares no node of level 0
+   in one tree with probability about 1 - 0.85, in all ten with 6e-9. Branching only finds links early: a pair at the
+   limit reaches the last of three more levels of a tree with 0.85^4 = 0.52.
+3. Members of nodes that are large at level 0 (dense groups, or a passage that many documents share) are completed exactly,
+   once the links of steps 1, 2 and 4 are known: a prefix-filter join on full sets finds every pair of them that can be
+   linked and lies in different components so far, and full sets confirm it. Such pairs are missed by no tree and no sketch.
 4. Candidates are ranked by the agreement of 128 16-bit minwise values; fewer than `agree` equal ones (88 of 128: a pair
    at the limit falls below with probability 1e-6) are no candidates. Confirmation on full sets first takes one pair a
    document, the closest, then every pair whose ends are still in different components. So a dense group costs about one
    confirmation a document, and no candidate that could join two components is left out.
 
-Sets are rebuilt from the texts of candidates only; nothing is collected on the driver, and labels spread by joins that
+Sets are rebuilt from the texts of candidates only; the driver gets 2**20 counters of a sample, and labels spread by joins that
 adaptive execution splits where a key is hot. Null text: empty set. Null doc_id: linked with nothing, stays (its
 component_id is null). Rows that share a doc_id are one document of the graph: they stay or go together. Empty table:
 no rows.
@@ -40,6 +41,7 @@ from tapeline.session import materialise
 
 TREES, SKETCH = 10, 128
 SMALL, PIVOTS, LEVELS, AGREE, PERCENT, BLOCK = 32, 2, 3, 88, 85, 256
+BITS, SAMPLE = 20, 8  # the order of shingles in prefixes: counters and share of documents; results do not depend on it
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _FACTORS = _rng.integers(0, 2**31, SKETCH + TREES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -114,6 +116,23 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at, held, size = i + 1, [], 0
 
 
+def _heads(counts, percent: int):
+    """The first n - ceil(percent * n / 100) + 1 shingles of each set, rarest first by `counts` of their leading bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, heads = [], [np.zeros(0, np.int64)]
+            for items in _sets(batch.column("text")):
+                n.append(len(items))
+                order = np.argsort(counts.value[(items >> np.uint64(64 - BITS)).astype(np.int64)], kind="stable")
+                heads.append(items[order[: len(items) + (-percent * len(items)) // 100 + 1]].view(np.int64))
+            ends = np.cumsum([len(x) for x in heads]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int32()), lists], ["id", "n", "head"])
+
+    return run
+
+
 PAIRS = "a long, b long, est int"
 
 
@@ -204,8 +223,8 @@ class Join:
         )
 
     def build_sets(self, ids: DataFrame) -> None:
-        """Full sets of the documents in `ids` (id), from their texts. The one time that texts are shuffled; merging whatever
-        the sizes, so that the cost grows as the input does."""
+        """Full sets of the documents in `ids` (id), from their texts, which are shuffled; merging whatever the
+        sizes, so that the cost grows as the input does."""
         wanted = self.docs.join(ids.distinct().hint("merge"), F.col("doc_id") == F.col("id"), "left_semi")
         self.sets = materialise(wanted.mapInArrow(_full_sets, "id long, items array<long>"), "near-sets")
 
@@ -221,7 +240,7 @@ class Join:
     def candidates(self) -> DataFrame:
         """Distinct pairs (a, b, est) of representatives that meet in a node and agree enough."""
         reps = self.classes
-        found, last = [], None
+        found, self.large = [], None
         tagged = F.transform(F.slice("tokens", 1, self.trees), lambda x, i: F.xxhash64(i, x))
         nodes = reps.select("rep", "n", "sketch", F.explode(tagged).alias("node"))
         for level in range(self.levels + 1):
@@ -232,15 +251,13 @@ class Join:
             many = live.where(F.col("size") > self.small)
             if many.isEmpty():
                 break
+            if level == 0:
+                self.large = many.select(F.col("rep").alias("id"))
             found.append(materialise(self._with_pivots(many), "near-pairs"))
-            if level == self.levels:
-                last = many
-                break
             nodes = many.select("rep", "n", "sketch", _child(level).alias("node"))
         pairs = reduce(DataFrame.union, found)
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-        self.large = None if last is None else last.select(F.col("rep").alias("id"))
-        self.build_sets(ids if last is None else ids.union(self.large))
+        self.build_sets(ids)
         return materialise(pairs.groupBy("a", "b").agg(F.max("est").alias("est")), "near-candidates")
 
     def _with_pivots(self, many: DataFrame) -> DataFrame:
@@ -253,22 +270,21 @@ class Join:
     def _completed(self, members: DataFrame, labels: DataFrame) -> DataFrame:
         """Candidates (a, b) among `members` (id) whose ends are in different components of `labels`, by prefix filtering.
 
-        Shingles are ordered by the number of members that have them, rarest first. Linked sets share one of the first
-        n - ceil(percent * n / 100) + 1 of each, and what follows their first common one is long enough for the overlap
-        that they need. Members of a shingle are dealt into blocks, and each pair of blocks is a group of its own."""
-        sets = self.sets.join(members.distinct().hint("merge"), "id", "left_semi")
-        shingles = sets.select("id", F.size("items").alias("n"), F.explode("items").alias("item"))
-        times = shingles.groupBy("item").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-        common = shingles.join(times.hint("merge"), "item").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("times", "item"))).alias("rest"))
-        # The n - size(rest) shingles that only one member has come first and meet nothing.
-        length = F.col("n") - F.ceil(F.lit(self.percent) * F.col("n") / 100) + 1
-        common = common.withColumn("alone", F.col("n") - F.size("rest")).where(F.col("alone") < length)
-        heads = common.select("id", "n", "alone", F.posexplode(F.slice("rest", F.lit(1), (length - F.col("alone")).cast("int"))).alias("at", "s"))
-        heads = heads.join(labels.hint("merge"), heads.id == labels.v, "left")
-        heads = materialise(heads.select("id", "n", F.coalesce("label", "id").alias("label"), (F.col("n") - F.col("alone") - F.col("at")).alias("left"), F.col("s.item").alias("item")), "near-prefixes")
+        Shingles are ordered by their number in a sample, rarest first; any order gives the same links, this one few pairs.
+        Linked sets share one of the first n - ceil(percent * n / 100) + 1 of each, and what follows their first common one
+        is long enough for the overlap that they need. Members of a shingle are dealt into blocks, and each pair of blocks is a group of its own."""
+        counts = np.zeros(1 << BITS, np.int64)
+        some = self.docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(_full_sets, "id long, items array<long>")
+        seen = some.select(F.explode("items").alias("item")).groupBy(F.shiftrightunsigned("item", 64 - BITS).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("c")).toArrow()
+        counts[seen.column("k").to_numpy()] = seen.column("c").to_numpy()
+        shared = self.docs.sparkSession.sparkContext.broadcast(counts.astype(np.uint32))
+        heads = self.docs.where("doc_id is not null").mapInArrow(_heads(shared, self.percent), "id long, n int, head array<long>").where("n > 0")
+        heads = heads.join(members.distinct().hint("merge"), "id", "left_semi").join(labels.hint("merge"), F.col("id") == F.col("v"), "left").dropDuplicates(["id"])
+        heads = materialise(heads.select("id", "n", F.coalesce("label", "id").alias("label"), "head"), "near-prefixes")
+        heads = heads.select("id", "n", "label", F.posexplode("head").alias("at", "item")).select("id", "n", "label", (F.col("n") - F.col("at")).alias("left"), "item")
         held = heads.groupBy("item").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("low < high")
         heads = heads.join(held.drop("low", "high").hint("merge"), "item").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        heads = materialise(heads, "near-prefixes")
+        heads = materialise(heads, "near-met")
         every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         a = heads.select("item", F.col("block").alias("p"), every.alias("q"), F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), F.col("left").alias("left_a"))
         b = heads.select("item", every.alias("p"), F.col("block").alias("q"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("left").alias("left_b"))
@@ -292,7 +308,9 @@ class Join:
             labels = components(links)
         if self.large is None:
             return labels
-        more = materialise(self.confirmed(self._completed(self.large, labels)), "near-links")
+        met = self._completed(self.large, labels)
+        self.build_sets(met.select(F.col("a").alias("id")).union(met.select(F.col("b").alias("id"))))
+        more = materialise(self.confirmed(met), "near-links")
         return labels if more.isEmpty() else components(links.union(more))
 
     def result(self) -> DataFrame:

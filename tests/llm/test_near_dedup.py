@@ -102,3 +102,10 @@ def test_linked_members_of_a_large_last_node_are_compared(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.component_id for r in x.near_dedup(docs, levels=0, trees=2).collect()}
     assert not parted(docs, rows, got, 2)
+
+
+def test_pairs_that_branching_parts_are_compared(spark):
+    rows = [row for k in range(4) for row in bridged(k)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in x.near_dedup(docs, levels=3, trees=1).collect()}
+    assert not parted(docs, rows, got, 1)
