@@ -56,3 +56,11 @@ def test_awkward_rows(awkward, empty):
     rows = x.find_pii(awkward).collect()
     assert len(rows) == awkward.count() and all(r.spans == "" for r in rows)
     assert x.find_pii(empty).count() == 0
+
+
+def test_each_defanged_form_alone():
+    model = x.Model()
+    for form in ("10[.]0[.]0[.]5", "10(.)0(.)0(.)5", "10[dot]0[dot]0[dot]5"):
+        text = f"host {form} down"
+        assert {text[a:b] for a, b, k in x.candidates(text) if k == "ip"} == {form}
+        assert {text[a:b] for a, b, _ in model.spans(text)[1]} == {form}
