@@ -1,32 +1,40 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
-Words are runs without ASCII white space after lower-casing A-Z; a document's set holds its distinct 3-word shingles
-(with fewer words, the whole sequence; without words, empty and linked with nothing). Documents are linked when
+Words are runs without ASCII white space after lower-casing A-Z; a document's set holds its distinct shingles of `width`
+words (with fewer words, the whole sequence; without words, empty and linked with nothing). Documents are linked when
 100 * intersection >= `percent` * union, on full sets. A component's id is its smallest doc_id; that document stays.
 
 1. Documents with equal sets are one class, represented by its smallest doc_id.
-2. Every tree puts a representative into the node of its minwise token. Nodes of up to `small` members are compared
-   exhaustively. Larger ones compare all members with a few pivots and branch on the minwise token of another
-   permutation, drawn by the node, level after level. Trees are independent: a pair at the limit shares no node of level 0
-   in one tree with probability about 1 - 0.85, in all ten with 6e-9. Branching only finds links early: a pair at the
-   limit reaches the last of three more levels of a tree with 0.85^4 = 0.52.
-3. Members of nodes that are large at level 0 (dense groups, or a passage that many documents share) are completed exactly,
-   once the links of steps 1, 2 and 4 are known: a prefix-filter join on full sets finds every pair of them that can be
-   linked and lies in different components so far, and full sets confirm it. Such pairs are missed by no tree and no sketch.
-4. Candidates are ranked by the agreement of 128 16-bit minwise values; fewer than `agree` equal ones (88 of 128: a pair
-   at the limit falls below with probability 1e-6) are no candidates. Confirmation on full sets first takes one pair a
-   document, the closest, then every pair whose ends are still in different components. So a dense group costs about one
-   confirmation a document, and no candidate that could join two components is left out.
-
-Sets are rebuilt from the texts of candidates only; the driver gets 2**20 counters of a sample, and labels spread by joins that
-adaptive execution splits where a key is hot. Null text: empty set. Null doc_id: linked with nothing, stays (its
-component_id is null). Rows that share a doc_id are one document of the graph: they stay or go together. Empty table:
-no rows.
+2. Every tree puts a representative into the node of its minwise token. Small nodes (up to `small` members) are compared
+   exhaustively; in larger ones all members are compared with a few pivots. Confirmed pairs give first components, so
+   that a dense group is one component at a cost of some comparisons a member.
+3. Large nodes whose members lie in several components are settled by recursion. A node is small now if its minority (the
+   members outside its largest component) is: every member of the minority is compared with every member of another
+   component. Other nodes branch: each member goes to `branches` children, by its minwise tokens under permutations that
+   the node draws. Nodes of the last level are compared like small ones whatever their minority: no member, node or pair
+   is ever left out, only pairs that are in one component already.
+4. Candidates are ranked by the agreement of 128 16-bit minwise values; those with fewer than `agree` equal ones (5 standard
+   deviations below the mean of a pair at the limit, 1e-6) are none. Confirmation is on full sets, which meet in the cell
+   where the pair was found, so that a set moves once a cell and not once a pair: first the closest pair of a document
+   or of two components, then every pair whose ends are still in different components.
+
+Recall: a pair at the limit p shares no node of level 0 in one tree with probability 1 - p, and each of at most `levels`
+branchings parts it with (1 - p)**branches. Ten trees at p = 0.85 miss it with at most 6e-9 where nodes are small and
+2e-7 after three branchings of two; at p = 0.8 with 1e-7 and 5e-6. Closer pairs are missed less, and components that are
+joined by several pairs less still.
+
+Skew: nodes over 1/4096 of all rows number at most 4096 by count, so their figures are broadcast and their members stay
+where they are; members meet pivots and minorities in cells of bounded size, whatever the node's.
+
+Null text: empty set. Null doc_id: linked with nothing, stays (its component_id is null). Rows that share a doc_id are one
+vertex of the graph; `drop_near_duplicates` keeps one row of each component, the first by (doc_id, place), and
+every row without words. Empty table: no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -37,29 +45,31 @@ from pyspark.sql import functions as F
 
 from tapeline.llm import texts
 from tapeline.llm.common import without
+from tapeline.llm.exact_dedup import located
 from tapeline.session import materialise
 
 TREES, SKETCH = 10, 128
-SMALL, PIVOTS, LEVELS, AGREE, PERCENT, BLOCK = 32, 2, 3, 88, 85, 256
-BITS, SAMPLE = 20, 8  # the order of shingles in prefixes: counters and share of documents; results do not depend on it
+SMALL, PIVOTS, LEVELS, BRANCHES, PERCENT, WIDTH = 32, 2, 3, 2, 85, 3
+MINORITY, CELL, MINOR, HOT = 64, 1024, 256, 4096  # minority of a small node; members and minority of a cell; most hot nodes
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _FACTORS = _rng.integers(0, 2**31, SKETCH + TREES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def _sets(column: pa.Array) -> Iterator[np.ndarray]:
+def least_agreement(percent: int) -> int:
+    """Equal minwise values that a pair at the limit has but for five standard deviations of chance."""
+    p = percent / 100
+    return math.floor(SKETCH * p - 5.1 * math.sqrt(SKETCH * p * (1 - p)))
+
+
+def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     for chunk in texts.chunks(column):
         starts, ends, first = chunk.words()
         h = chunk.spans(starts, ends, fold=True)
-        shingles = texts.windows3(h)
+        shingles = texts.windows(h, width)
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            if b - a >= 3:
-                yield np.unique(shingles[a : b - 2])
-            elif b - a == 2:
-                yield texts.mix(h[a : a + 1] * texts.K3 + h[a + 1 : b] * texts.K1)
-            else:
-                yield texts.mix(h[a:b] * texts.K2)
+            yield np.unique(shingles[a : b - width + 1]) if b - a >= width else texts.windows(h[a:b] * texts.K2, b - a)
 
 
 def _minima(items: np.ndarray) -> np.ndarray:
@@ -71,75 +81,74 @@ def _minima(items: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n, digest, sketch, tokens = [], [], [], []
-        for items in _sets(batch.column("text")):
-            n.append(len(items))
-            digest.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest())
-            least = _minima(items)
-            sketch.append(least[:SKETCH].astype(np.uint16).tobytes())
-            tokens.append(least[SKETCH:].view(np.int32))
-        flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                pa.array(n, pa.int64()),
-                pa.array(digest, pa.binary()),
-                pa.array(sketch, pa.binary()),
-                pa.ListArray.from_arrays(pa.array(np.arange(len(tokens) + 1) * TREES, pa.int32()), pa.array(flat)),
-            ],
-            ["doc_id", "n", "digest", "sketch", "tokens"],
-        )
+def _signatures(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, digest, sketch, tokens = [], [], [], []
+            for items in _sets(batch.column("text"), width):
+                n.append(len(items))
+                digest.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest())
+                least = _minima(items)
+                sketch.append(least[:SKETCH].astype(np.uint16).tobytes())
+                tokens.append(least[SKETCH:].view(np.int32))
+            flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(tokens) + 1) * TREES, pa.int32()), pa.array(flat))
+            found = [pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), *found], ["doc_id", "place", "n", "digest", "sketch", "tokens"])
+
+    return run
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), digest of the set, sketch, tree tokens."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _signatures, "doc_id long, n long, digest binary, sketch binary, tokens array<int>"
-    )
+PLACE = "struct<file: bigint, row: bigint>"
 
 
-def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at, held, size = 0, [], 0
-        ids = batch.column("doc_id")
-        sets = _sets(batch.column("text"))
-        for i, items in enumerate(sets):
-            held.append(items.view(np.int64))
-            size += len(items)
-            if size > 1 << 20 or i == len(ids) - 1:
-                ends = np.cumsum([0] + [len(x) for x in held]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(held)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held)))], ["id", "items"]
-                )
-                at, held, size = i + 1, [], 0
-
-
-def _heads(counts, percent: int):
-    """The first n - ceil(percent * n / 100) + 1 shingles of each set, rarest first by `counts` of their leading bits."""
+def signatures(docs: DataFrame, width: int = WIDTH, place: Column | None = None) -> DataFrame:
+    """doc_id, place, n (set size), digest of the set, sketch, tree tokens."""
+    place = F.lit(None).cast(PLACE) if place is None else place
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), place.alias("place"), F.col("text").cast("string").alias("text")).mapInArrow(
+        _signatures(width), f"doc_id long, place {PLACE}, n long, digest binary, sketch binary, tokens array<int>"
+    )
 
+
+def _full_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, heads = [], [np.zeros(0, np.int64)]
-            for items in _sets(batch.column("text")):
-                n.append(len(items))
-                order = np.argsort(counts.value[(items >> np.uint64(64 - BITS)).astype(np.int64)], kind="stable")
-                heads.append(items[order[: len(items) + (-percent * len(items)) // 100 + 1]].view(np.int64))
-            ends = np.cumsum([len(x) for x in heads]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int32()), lists], ["id", "n", "head"])
+            at, held, size = 0, [], 0
+            ids = batch.column("doc_id")
+            for i, items in enumerate(_sets(batch.column("text"), width)):
+                held.append(items.view(np.int64))
+                size += len(items)
+                if size > 1 << 20 or i == len(ids) - 1:
+                    ends = np.cumsum([0] + [len(x) for x in held]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.slice(at, len(held)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held)))], ["id", "items"]
+                    )
+                    at, held, size = i + 1, [], 0
 
     return run
 
 
-PAIRS = "a long, b long, est int"
+#: A pair, the agreement of its sketches, and the cell where it was found.
+PAIRS = "a long, b long, est int, cell long"
+MEMBER = ("rep", "n", "sketch")
 
 
-def _emit(a: np.ndarray, b: np.ndarray, est: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64()), pa.array(est, pa.int32())], ["a", "b", "est"]
-    )
+def _emit(a: np.ndarray, b: np.ndarray, est: np.ndarray, cell: np.ndarray) -> pa.RecordBatch:
+    columns = np.minimum(a, b), np.maximum(a, b), est.astype(np.int32), cell
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "est", "cell"])
+
+
+def _agreement(s: np.ndarray, t: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Equal values of the sketches s[i] and t[j]."""
+    out = np.zeros(len(i), np.int32)
+    for lo in range(0, len(i), 1 << 15):
+        at = slice(lo, lo + (1 << 15))
+        out[at] = (s[i[at]] == t[j[at]]).sum(1)
+    return out
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SKETCH)
 
 
 def _near(n1: np.ndarray, n2: np.ndarray, percent: int) -> np.ndarray:
@@ -147,27 +156,44 @@ def _near(n1: np.ndarray, n2: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)
 
 
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches that hold whole groups of equal `key` (rows come sorted by it), and where the groups start and end."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            keys = batch.column(key).to_numpy()
+            change = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            if len(change):
+                whole = pa.concat_batches([*held[:-1], batch.slice(0, int(change[-1]))])
+                held = [batch.slice(int(change[-1]))]
+                yield whole, _edges(whole.column(key).to_numpy())
+            elif len(held) > 1 and held[-2].column(key)[-1].as_py() != keys[0]:
+                whole, held = pa.concat_batches(held[:-1]), [batch]
+                yield whole, _edges(whole.column(key).to_numpy())
+    if held:
+        whole = pa.concat_batches(held)
+        yield whole, _edges(whole.column(key).to_numpy())
+
+
+def _edges(keys: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+
+
 def _within(percent: int, agree: int):
-    """Pairs of the members of small nodes: one row a node, its members in arrays."""
+    """Pairs of the members of small nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            members = batch.column("members")
-            ends = members.offsets.to_numpy()
-            flat = members.values
-            ids, sizes = flat.field("rep").to_numpy(), flat.field("n").to_numpy()
-            sketches = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint16).reshape(-1, SKETCH)
-            for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                i, j = np.triu_indices(hi - lo, 1)
-                i, j = i + lo, j + lo
-                ok = _near(sizes[i], sizes[j], percent) & (ids[i] != ids[j])
-                i, j = i[ok], j[ok]
-                est = (sketches[i] == sketches[j]).sum(1)
-                ok = est >= agree
-                found.append((ids[i[ok]], ids[j[ok]], est[ok]))
-            if found:
-                yield _emit(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        for batch, edges in _runs(batches, "cell"):
+            ids, sizes, cell = (batch.column(k).to_numpy() for k in ("rep", "n", "cell"))
+            sketches = _sketches(batch.column("sketch"))
+            pairs = [lo + np.array(np.triu_indices(hi - lo, 1)) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+            i, j = np.concatenate(pairs, 1)
+            ok = _near(sizes[i], sizes[j], percent) & (ids[i] != ids[j])
+            i, j = i[ok], j[ok]
+            est = _agreement(sketches, sketches, i, j)
+            ok = est >= agree
+            yield _emit(ids[i[ok]], ids[j[ok]], est[ok], cell[i[ok]])
 
     return run
 
@@ -180,10 +206,69 @@ def _across(percent: int, agree: int):
             if not batch.num_rows:
                 continue
             a, b = (batch.column(k).to_numpy() for k in ("rep", "p_rep"))
-            s, t = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, SKETCH) for k in ("sketch", "p_sketch"))
-            est = (s == t).sum(1)
+            est = (_sketches(batch.column("sketch")) == _sketches(batch.column("p_sketch"))).sum(1)
             ok = (est >= agree) & (a != b) & _near(batch.column("n").to_numpy(), batch.column("p_n").to_numpy(), percent)
-            yield _emit(a[ok], b[ok], est[ok])
+            yield _emit(a[ok], b[ok], est[ok], batch.column("cell").to_numpy()[ok])
+
+    return run
+
+
+def _between(percent: int, agree: int):
+    """Pairs of a cell: its minority with the members of other components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, edges in _runs(batches, "cell"):
+            ids, sizes, label, cell = (batch.column(k).to_numpy() for k in ("rep", "n", "label", "cell"))
+            sketches = _sketches(batch.column("sketch"))
+            minor = batch.column("minor").to_numpy(zero_copy_only=False).astype(bool)
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                few, many = lo + np.flatnonzero(minor[lo:hi]), lo + np.flatnonzero(~minor[lo:hi])
+                i, j = np.nonzero((label[few][:, None] != label[many][None, :]) & _near(sizes[few][:, None], sizes[many][None, :], percent))
+                i, j = few[i], many[j]
+                est = _agreement(sketches, sketches, i, j)
+                ok = est >= agree
+                if ok.any():
+                    yield _emit(ids[i[ok]], ids[j[ok]], est[ok], cell[i[ok]])
+
+    return run
+
+
+def _confirm(percent: int):
+    """The linked pairs of each cell: rows without `b` hold the set of `a`, and come before the rows of pairs."""
+
+    def linked(a: np.ndarray, others: list[np.ndarray]) -> Iterator[np.ndarray]:
+        at = 0
+        while at < len(others):
+            ends = np.cumsum([len(x) for x in others[at : at + 4096]])
+            some = others[at : at + max(1, int(np.searchsorted(ends, 1 << 22)))]
+            flat, sizes = np.concatenate(some), ends[: len(some)] - np.concatenate([[0], ends[: len(some) - 1]])
+            found = a[np.minimum(np.searchsorted(a, flat), len(a) - 1)] == flat
+            both = np.add.reduceat(found, ends[: len(some)] - sizes, dtype=np.int64)
+            yield 100 * both >= percent * (len(a) + sizes - both)
+            at += len(some)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sets = None, {}
+        for batch in batches:
+            cells, first, second, items = (batch.column(k) for k in ("cell", "a", "b", "items"))
+            cells, first, paired = cells.to_numpy(), first.to_numpy(), second.is_valid().to_numpy(zero_copy_only=False)
+            second = second.fill_null(0).to_numpy()
+            groups = np.flatnonzero((cells[1:] != cells[:-1]) | (first[1:] != first[:-1]) | (paired[1:] != paired[:-1])) + 1
+            found = []
+            for lo, hi in zip([0, *groups.tolist()], [*groups.tolist(), batch.num_rows], strict=True):
+                if hi <= lo:
+                    continue
+                if cells[lo] != now:
+                    now, sets = cells[lo], {}
+                if not paired[lo]:
+                    sets[first[lo]] = items[lo].values.to_numpy().view(np.uint64)  # sorted as such
+                elif first[lo] in sets:
+                    b = np.array([x for x in second[lo:hi].tolist() if x in sets], np.int64)
+                    if len(b):
+                        b = b[np.concatenate(list(linked(sets[first[lo]], [sets[x] for x in b.tolist()])))]
+                        found.append((np.full(len(b), first[lo]), b))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
 
     return run
 
@@ -204,18 +289,47 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _child(level: int) -> Column:
-    at = F.pmod(F.xxhash64(F.lit(level), "node"), F.lit(SKETCH))
-    return F.xxhash64("node", at, F.expr(f"substring(sketch, cast(2 * pmod(xxhash64({level}, node), {SKETCH}) + 1 as int), 2)"))
+def _in_tree(tree: Column, *cols: Column) -> Column:
+    """A number from `cols` whose leading bits are the tree, so that the least cell of a pair is one of its first tree."""
+    return F.shiftleft(tree.cast("long"), 58) + F.shiftrightunsigned(F.xxhash64(*cols), 6)
+
+
+def _tree() -> Column:
+    return F.shiftright("node", 58)
+
+
+def _child(level: int, branch: int) -> Column:
+    at = F.pmod(F.xxhash64(F.lit(level), F.lit(branch), "node"), F.lit(SKETCH))
+    return _in_tree(_tree(), F.col("node"), at, F.substring("sketch", (2 * at + 1).cast("int"), F.lit(2)))
+
+
+def _with_figures(rows: DataFrame, figures: DataFrame) -> DataFrame:
+    """`rows` of the nodes in `figures` (node, size, ...), a written table. Figures of nodes with over 1/HOT of all rows are
+    broadcast, at most HOT of them; others have few enough rows to be dealt by node."""
+    total = figures.agg(F.sum("size")).first()[0] or 0
+    limit = max(total // HOT, CELL)
+    hot = figures.where(F.col("size") > limit)
+    dealt = rows.join(F.broadcast(hot.select("node")), "node", "left_anti").join(figures.where(F.col("size") <= limit), "node")
+    return rows.join(F.broadcast(hot), "node").unionByName(dealt)
+
+
+def _parts(count: str, shingles: str, most: int) -> Column:
+    """Cells for `count` rows with `shingles` in all, of about `most` rows and 2048 times as many shingles."""
+    return F.ceil(F.greatest(F.col(count) / most, F.col(shingles) / (2048 * most))).cast("int")
+
+
+def _each(parts: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), parts - 1))
 
 
 class Join:
     """The join over `docs`: classes of equal sets, candidates, confirmed links and components."""
 
-    def __init__(self, docs: DataFrame, percent: int = PERCENT, small: int = SMALL, pivots: int = PIVOTS, levels: int = LEVELS, agree: int = AGREE, trees: int = TREES):
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        self.percent, self.small, self.pivots, self.levels, self.agree, self.trees = percent, small, pivots, levels, agree, min(trees, TREES)
-        self.signatures = materialise(signatures(docs), "near-signatures")
+    def __init__(self, docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, small: int = SMALL, pivots: int = PIVOTS, levels: int = LEVELS, branches: int = BRANCHES, minority: int = MINORITY, trees: int = TREES, place: Column | None = None):
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        self.percent, self.width, self.small, self.pivots, self.levels, self.branches, self.minority = percent, width, small, pivots, levels, branches, minority
+        self.agree, self.trees = least_agreement(percent), min(trees, TREES)
+        self.signatures = materialise(signatures(docs, width, place), "near-signatures")
         self.classes = materialise(
             self.signatures.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sketch", "tokens")).alias("r"))
             .select("digest", F.col("r.doc_id").alias("rep"), "r.n", "r.sketch", "r.tokens"),
@@ -226,108 +340,122 @@ class Join:
         """Full sets of the documents in `ids` (id), from their texts, which are shuffled; merging whatever the
         sizes, so that the cost grows as the input does."""
         wanted = self.docs.join(ids.distinct().hint("merge"), F.col("doc_id") == F.col("id"), "left_semi")
-        self.sets = materialise(wanted.mapInArrow(_full_sets, "id long, items array<long>"), "near-sets")
+        self.sets = materialise(wanted.mapInArrow(_full_sets(self.width), "id long, items array<long>"), "near-sets")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose full sets are linked."""
-        joined = (
-            pairs.select("a", "b").join(self.sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-            .join(self.sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-        )
-        both = F.size(F.array_intersect("x", "y"))
-        return joined.where(100 * both >= self.percent * (F.size("x") + F.size("y") - both)).select("a", "b").distinct()
-
-    def candidates(self) -> DataFrame:
-        """Distinct pairs (a, b, est) of representatives that meet in a node and agree enough."""
-        reps = self.classes
-        found, self.large = [], None
-        tagged = F.transform(F.slice("tokens", 1, self.trees), lambda x, i: F.xxhash64(i, x))
-        nodes = reps.select("rep", "n", "sketch", F.explode(tagged).alias("node"))
+        """The pairs (a, b, cell) of a written table whose full sets are linked."""
+        needed = pairs.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct()
+        sets = needed.join(self.sets, "id").select("cell", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "items")
+        rows = sets.union(pairs.select("cell", "a", "b", F.lit(None).cast("array<long>"))).withColumn("paired", F.col("b").isNotNull())
+        return rows.repartition("cell").sortWithinPartitions("cell", "paired", "a").drop("paired").mapInArrow(_confirm(self.percent), "a long, b long").distinct()
+
+    def meet(self) -> tuple[DataFrame, DataFrame | None]:
+        """Pairs that level 0 of the trees finds, and the members of its large nodes (None: there are none)."""
+        tagged = F.transform(F.slice("tokens", 1, self.trees), lambda x, i: _in_tree(i, x))
+        nodes = self.classes.select(*MEMBER, F.explode(tagged).alias("node"))
+        figures = materialise(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).where("size > 1"), "near-sizes")
+        live = materialise(_with_figures(nodes, figures), "near-nodes")
+        few = live.where(F.col("size") <= self.small).select(F.col("node").alias("cell"), *MEMBER).repartition("cell").sortWithinPartitions("cell")
+        pairs = few.mapInArrow(_within(self.percent, self.agree), PAIRS)
+        large = live.where(F.col("size") > self.small)
+        if large.isEmpty():
+            large = None
+        else:
+            pairs = pairs.union(self._with_pivots(large))
+        return self._distinct(pairs), large
+
+    def _distinct(self, pairs: DataFrame) -> DataFrame:
+        return materialise(pairs.groupBy("a", "b").agg(F.max("est").alias("est"), F.min("cell").alias("cell")), "near-candidates")
+
+    def _with_pivots(self, large: DataFrame) -> DataFrame:
+        cells = _parts("size", "shingles", CELL)
+        r = F.xxhash64("node", "rep")
+        one = [F.min(F.when(F.pmod(r, F.lit(self.pivots)) == i, F.struct(r.alias("r"), *MEMBER))) for i in range(self.pivots)]
+        chosen = large.groupBy("node").agg(F.first(cells).alias("cells"), F.array_compact(F.array(*one)).alias("p")).select("node", F.explode("p").alias("p"), "cells")
+        chosen = chosen.select("node", *(F.col(f"p.{c}").alias(f"p_{c}") for c in MEMBER), _each(F.col("cells")).alias("c"))
+        dealt = large.withColumn("c", F.pmod(F.xxhash64("rep"), cells).cast("int"))
+        met = dealt.join(chosen, ["node", "c"]).select(_in_tree(_tree(), "node", "c").alias("cell"), *MEMBER, *(f"p_{c}" for c in MEMBER))
+        return met.mapInArrow(_across(self.percent, self.agree), PAIRS)
+
+    def _minority_pairs(self, members: DataFrame) -> DataFrame:
+        """Pairs between components in nodes with their figures: cells of up to about CELL members and MINOR of the minority,
+        every cell of a node's members against every cell of its minority."""
+        cells, parts = _parts("size", "shingles", CELL), _parts("outside", "shingles_outside", MINOR)
+        columns = [*MEMBER, "label"]
+        key = _in_tree(_tree(), "node", "c", "p").alias("cell")
+        many = members.select("node", *columns, F.pmod(F.xxhash64("rep"), cells).cast("int").alias("c"), _each(parts).alias("p"))
+        few = members.where("label != main").withColumn("p", F.pmod(F.xxhash64("rep", F.lit(1)), parts).cast("int")).select("node", *columns, "p", _each(cells).alias("c"))
+        rows = many.select(key, *columns, F.lit(False).alias("minor")).union(few.select(key, *columns, F.lit(True).alias("minor")))
+        return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_between(self.percent, self.agree), PAIRS)
+
+    def branch(self, large: DataFrame, labels: DataFrame) -> DataFrame:
+        """Pairs (a, b, est) between different components of `labels` among the members of large nodes."""
+        known = labels.select(F.col("v").alias("rep"), "label")
+        nodes = large.select("node", *MEMBER).join(known, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        found = []
         for level in range(self.levels + 1):
-            counts = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-            live = materialise(nodes.join(counts, "node"), "near-nodes")
-            few = live.where(F.col("size") <= self.small).groupBy("node").agg(F.collect_list(F.struct("rep", "n", "sketch")).alias("members"))
-            found.append(materialise(few.select("members").mapInArrow(_within(self.percent, self.agree), PAIRS), "near-pairs"))
-            many = live.where(F.col("size") > self.small)
-            if many.isEmpty():
+            nodes = materialise(nodes, "near-members")
+            by_label = nodes.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+            figures = by_label.groupBy("node").agg(F.sum("c").alias("size"), F.sum("s").alias("shingles"), F.max(F.struct("c", "label", "s")).alias("m"))
+            outside = [(F.col("size") - F.col("m.c")).alias("outside"), (F.col("shingles") - F.col("m.s")).alias("shingles_outside")]
+            figures = materialise(figures.select("node", "size", "shingles", F.col("m.label").alias("main"), *outside).where("outside > 0"), "near-figures")
+            live = _with_figures(nodes, figures)
+            small = F.lit(level == self.levels) | (F.col("outside") <= self.minority)
+            found.append(materialise(self._minority_pairs(live.where(small)), "near-pairs"))
+            if level == self.levels or figures.where(F.col("outside") > self.minority).isEmpty():
                 break
-            if level == 0:
-                self.large = many.select(F.col("rep").alias("id"))
-            found.append(materialise(self._with_pivots(many), "near-pairs"))
-            nodes = many.select("rep", "n", "sketch", _child(level).alias("node"))
-        pairs = reduce(DataFrame.union, found)
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-        self.build_sets(ids)
-        return materialise(pairs.groupBy("a", "b").agg(F.max("est").alias("est")), "near-candidates")
-
-    def _with_pivots(self, many: DataFrame) -> DataFrame:
-        r = F.xxhash64("node", "rep")
-        one = [F.min(F.when(F.pmod(r, F.lit(self.pivots)) == i, F.struct(r.alias("r"), "rep", "n", "sketch"))) for i in range(self.pivots)]
-        chosen = many.groupBy("node").agg(F.array_compact(F.array(*one)).alias("p")).select("node", F.explode("p").alias("p"))
-        chosen = chosen.select("node", F.col("p.rep").alias("p_rep"), F.col("p.n").alias("p_n"), F.col("p.sketch").alias("p_sketch"))
-        return many.join(chosen, "node").select("rep", "n", "sketch", "p_rep", "p_n", "p_sketch").mapInArrow(_across(self.percent, self.agree), PAIRS)
-
-    def _completed(self, members: DataFrame, labels: DataFrame) -> DataFrame:
-        """Candidates (a, b) among `members` (id) whose ends are in different components of `labels`, by prefix filtering.
-
-        Shingles are ordered by their number in a sample, rarest first; any order gives the same links, this one few pairs.
-        Linked sets share one of the first n - ceil(percent * n / 100) + 1 of each, and what follows their first common one
-        is long enough for the overlap that they need. Members of a shingle are dealt into blocks, and each pair of blocks is a group of its own."""
-        counts = np.zeros(1 << BITS, np.int64)
-        some = self.docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(_full_sets, "id long, items array<long>")
-        seen = some.select(F.explode("items").alias("item")).groupBy(F.shiftrightunsigned("item", 64 - BITS).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("c")).toArrow()
-        counts[seen.column("k").to_numpy()] = seen.column("c").to_numpy()
-        shared = self.docs.sparkSession.sparkContext.broadcast(counts.astype(np.uint32))
-        heads = self.docs.where("doc_id is not null").mapInArrow(_heads(shared, self.percent), "id long, n int, head array<long>").where("n > 0")
-        heads = heads.join(members.distinct().hint("merge"), "id", "left_semi").join(labels.hint("merge"), F.col("id") == F.col("v"), "left").dropDuplicates(["id"])
-        heads = materialise(heads.select("id", "n", F.coalesce("label", "id").alias("label"), "head"), "near-prefixes")
-        heads = heads.select("id", "n", "label", F.posexplode("head").alias("at", "item")).select("id", "n", "label", (F.col("n") - F.col("at")).alias("left"), "item")
-        held = heads.groupBy("item").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("low < high")
-        heads = heads.join(held.drop("low", "high").hint("merge"), "item").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        heads = materialise(heads, "near-met")
-        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        a = heads.select("item", F.col("block").alias("p"), every.alias("q"), F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), F.col("left").alias("left_a"))
-        b = heads.select("item", every.alias("p"), F.col("block").alias("q"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("left").alias("left_b"))
-        can = (100 + self.percent) * F.least("left_a", "left_b") >= self.percent * (F.col("n_a") + F.col("n_b"))
-        near = 100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")
-        met = a.join(b.hint("merge"), ["item", "p", "q"]).where((F.col("label_a") < F.col("label_b")) & can & near)
-        return materialise(met.select("a", "b").distinct(), "near-open")
+            children = F.explode(F.array(*(_child(level, i) for i in range(self.branches))))
+            nodes = live.where(~small).select(children.alias("child"), *MEMBER, "label").withColumnRenamed("child", "node")
+        return self._distinct(reduce(DataFrame.union, found))
+
+    def _labelled(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """The pairs between different components, with these (la < lb)."""
+        left, right = (labels.select(F.col("v").alias(v), F.col("label").alias(f"l{v}")) for v in "ab")
+        both = pairs.join(left, "a", "left").join(right, "b", "left").withColumn("la", F.coalesce("la", "a")).withColumn("lb", F.coalesce("lb", "b"))
+        return both.where("la != lb").select("a", "b", "est", "cell", F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb"))
+
+    def _settle(self, pairs: DataFrame, closest: DataFrame, links: DataFrame | None, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Confirm the `closest` pairs, then all of `pairs` whose ends are still apart: all links so far and their components."""
+        for step in (lambda _: closest, lambda now: self._labelled(pairs, now).join(closest.select("a", "b"), ["a", "b"], "left_anti")):
+            new = materialise(self.confirmed(materialise(step(labels).select("a", "b", "cell"), "near-open")), "near-links")
+            if labels is None or not new.isEmpty():
+                links = new if links is None else links.union(new)
+                labels = components(links)
+        return links, labels
 
     def labels(self) -> DataFrame:
         """(v, label) for the representatives that are linked with another."""
-        pairs = self.candidates()
-        closest = pairs.groupBy("b").agg(F.max(F.struct("est", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-        links = materialise(self.confirmed(closest), "near-links")
-        labels = components(links)
-        left, right = (labels.select(F.col("v").alias(v), F.col("label").alias(f"l{v}")) for v in "ab")
-        open_ = pairs.join(closest, ["a", "b"], "left_anti").join(left, "a", "left").join(right, "b", "left")
-        open_ = materialise(open_.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"), "near-open")
-        more = materialise(self.confirmed(open_), "near-links")
-        if not more.isEmpty():
-            links = links.union(more)
-            labels = components(links)
-        if self.large is None:
+        pairs, large = self.meet()
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+        self.build_sets(ids if large is None else ids.union(large.select(F.col("rep").alias("id"))))
+        closest = materialise(pairs.groupBy("b").agg(F.max(F.struct("est", "a", "cell")).alias("m")).select("m.a", "b", "m.cell"), "near-closest")
+        links, labels = self._settle(pairs, closest, None, None)
+        if large is None:
+            return labels
+        pairs = self.branch(large, labels)
+        if pairs.isEmpty():
             return labels
-        met = self._completed(self.large, labels)
-        self.build_sets(met.select(F.col("a").alias("id")).union(met.select(F.col("b").alias("id"))))
-        more = materialise(self.confirmed(met), "near-links")
-        return labels if more.isEmpty() else components(links.union(more))
+        closest = self._labelled(pairs, labels).groupBy("la", "lb").agg(F.max(F.struct("est", "a", "b", "cell")).alias("m")).select("m.a", "m.b", "m.cell")
+        return self._settle(pairs, materialise(closest, "near-closest"), links, labels)[1]
 
-    def result(self) -> DataFrame:
-        """One row per document: doc_id, n_shingles, component_id, kept."""
+    def rows(self) -> DataFrame:
+        """One row per document: doc_id, place, n, component."""
         by_class = self.classes.select("digest", "rep").join(self.labels().withColumnRenamed("v", "rep"), "rep", "left")
         by_class = by_class.select("digest", F.coalesce("label", "rep").alias("component"))
-        joined = self.signatures.select("doc_id", "n", "digest").join(by_class, "digest", "left")
+        joined = self.signatures.select("doc_id", "place", "n", "digest").join(by_class, "digest", "left")
         component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-        component = F.when(F.col("doc_id").isNotNull(), component)
-        return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+        return joined.select("doc_id", "place", "n", F.when(F.col("doc_id").isNotNull(), component).alias("component"))
 
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    return Join(docs, **options).result()
+    kept = F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept")
+    return Join(docs, **options).rows().select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept)
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns."""
-    return without(docs, F.col("doc_id").cast("long"), near_dedup(docs, **options).where("not kept").select("doc_id").distinct())
+    """The rows of `docs` that stay, with all their columns: one of each component, all rows without words or doc_id."""
+    docs, place = located(docs)
+    rows = materialise(Join(docs, place=place, **options).rows().where("n > 0 and doc_id is not null").select("doc_id", "place", "component"), "near-rows")
+    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "place")).alias("m")).select("m.place")
+    return without(docs, place, rows.join(first, "place", "left_anti").select("place"))

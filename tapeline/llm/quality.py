@@ -62,7 +62,7 @@ def _counts(chunk: texts.Chunk) -> list[np.ndarray]:
     covered = np.zeros(len(starts), bool)
     if len(starts) > 2:
         at = np.flatnonzero(owner[2:] == owner[:-2])
-        often, _ = _repeated(texts.mix(texts.windows3(h)[at] + owner[at].astype(np.uint64) * texts.K2))
+        often, _ = _repeated(texts.mix(texts.windows(h, 3)[at] + owner[at].astype(np.uint64) * texts.K2))
         for i in range(3):
             covered[at[often] + i] = True
     # Lines: cut at \n and at the ends of texts; those without a word don't count.

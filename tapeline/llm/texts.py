@@ -87,6 +87,12 @@ def chunks(column: pa.Array, most_bytes: int = 1 << 21) -> Iterator[Chunk]:
         lo = hi
 
 
-def windows3(h: np.ndarray) -> np.ndarray:
-    """The hash of the three words from each word on (two fewer than words)."""
-    return mix(h[:-2] * K1 + h[1:-1] * K2 + h[2:] * K3) if len(h) > 2 else np.zeros(0, np.uint64)
+def windows(h: np.ndarray, width: int) -> np.ndarray:
+    """The hash of the `width` words from each word on (width - 1 fewer than words)."""
+    if not 0 < width <= len(h):
+        return np.zeros(0, np.uint64)
+    last = len(h) - width + 1
+    out = h[:last]
+    for i in range(1, width):
+        out = out * K1 + h[i : last + i]
+    return mix(out)
