@@ -275,18 +275,17 @@ def _confirm(percent: int):
 
 def components(edges: DataFrame) -> DataFrame:
     """(v, label): the least vertex reachable, for each vertex of `edges` (a, b). Labels spread to neighbours and jump to
-    the label of their label, until nothing changes."""
+    the label of their label, one written table a round, until nothing changes."""
     both = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).select(F.col("a").alias("v"), "label"), "labels")
+    labels = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).select(F.col("a").alias("v"), "label", F.lit(True).alias("moved"))
     while True:
+        labels = materialise(labels, "labels")
+        if labels.where("moved").isEmpty():
+            return labels.select("v", "label")
         heard = both.join(labels, both.a == labels.v).groupBy("b").agg(F.min("label").alias("heard")).withColumnRenamed("b", "w")
-        spread = labels.join(heard, F.col("v") == F.col("w"), "left").select("v", "label", F.least("label", F.coalesce("heard", "label")).alias("next"))
-        spread = materialise(spread, "labels")
-        jump = spread.select(F.col("v").alias("u"), F.col("next").alias("jumped"))
-        new = materialise(spread.join(jump, F.col("next") == F.col("u"), "left").select("v", F.coalesce("jumped", "next").alias("label"), (F.coalesce("jumped", "next") != F.col("label")).alias("moved")), "labels")
-        labels = new.select("v", "label")
-        if new.where("moved").isEmpty():
-            return labels
+        jump = labels.select(F.col("v").alias("u"), F.col("label").alias("jumped"))
+        near = labels.select("v", "label").join(heard, F.col("v") == F.col("w")).join(jump, F.col("label") == F.col("u"))
+        labels = near.select("v", F.least("heard", "jumped").alias("next"), "label").select("v", F.least("next", "label").alias("label"), (F.col("next") < F.col("label")).alias("moved"))
 
 
 def _in_tree(tree: Column, *cols: Column) -> Column:
@@ -416,8 +415,10 @@ class Join:
 
     def _settle(self, pairs: DataFrame, closest: DataFrame, links: DataFrame | None, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         """Confirm the `closest` pairs, then all of `pairs` whose ends are still apart: all links so far and their components."""
-        for step in (lambda _: closest, lambda now: self._labelled(pairs, now).join(closest.select("a", "b"), ["a", "b"], "left_anti")):
-            new = materialise(self.confirmed(materialise(step(labels).select("a", "b", "cell"), "near-open")), "near-links")
+        for first in (True, False):
+            if not first:
+                rest = self._labelled(pairs, labels).join(closest.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "cell")
+            new = materialise(self.confirmed(closest if first else materialise(rest, "near-open")), "near-links")
             if labels is None or not new.isEmpty():
                 links = new if links is None else links.union(new)
                 labels = components(links)
