@@ -1,14 +1,17 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches per language and source.
 
 Every document gets counts over its whole text (null text: no words): words, code points in words, symbols, repeated
-lines, words in repeated 3-word windows, upper-case words. Their ratios go into KLL sketches, one per (lang, source) and
-ratio; sketches of a language's sources are merged where a source has fewer than `least_rows` documents, and those of
-all languages where the language has. A ratio is an outlier beyond quartile + `reach` * max(interquartile range,
-least spread of that ratio). A document stays unless a base rule fails (under 50 words, or over half of its words in
-repeated windows) or a ratio is an outlier. Null lang and null source are groups of their own.
+lines, words in repeated 3-word windows, upper-case words. Each rate is taken as log((count + 1/2) / (of + 1)), so that
+a document without any is judged by how much text it has, and a few occurrences in a short text are not a high rate; word length is
+taken as its logarithm. These figures go into KLL sketches, one per (lang, source) and figure. A fence lies `reach`
+interquartile ranges beyond the quartile of the sketch; no fixed cutoff or least spread stands beside it. A source's fence
+is averaged with its language's, and that with the fence of all documents, weighted by rows with the coarser one as
+`prior` rows: the same rule for a source of three documents and of three billion. A document stays unless a base
+rule fails (under 50 words, or over half of its words in repeated windows) or a figure lies beyond its fence. Null lang
+and null source are groups of their own.
 
 Partial sketches are built before the shuffle, so a source of any size sends one small sketch per task; the thresholds
-(a row per group) are joined back by key. Documents without words have no ratios and fail the base rule. Empty table: no
+(a row per group) are joined back by key. Documents without words have no figures and fail the base rule. Empty table: no
 rows. Repeated rows are judged alike.
 """
 
@@ -24,9 +27,10 @@ from pyspark.sql import functions as F
 from tapeline.llm import texts
 from tapeline.session import materialise
 
-#: Each ratio with its least spread and the sides on which outliers lie.
-RATIOS = {"word_length": (0.25, (-1, 1)), "symbols": (0.05, (1,)), "dup_lines": (0.07, (1,)), "repeats": (0.06, (1,)), "upper": (0.03, (1,))}
-REACH, LEAST_ROWS, SKETCH_K = 6.0, 200, 1024
+#: Each rate: what is counted, and of what.
+RATES = {"symbols": ("n_symbols", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "upper": ("n_upper", "n_words")}
+FIGURES = ("word_length", *RATES)
+REACH, LENGTH_REACH, PRIOR, SKETCH_K = 2.5, 6.0, 20, 1024
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper")
 
 _SYMBOL = np.zeros(256, bool)
@@ -99,37 +103,41 @@ def counts(docs: DataFrame) -> DataFrame:
     )
 
 
-def _ratios() -> dict[str, Column]:
-    per = lambda a, b: F.when(F.col("n_words") > 0, F.col(a) / F.greatest(b, F.lit(1)))
-    return {
-        "word_length": per("word_chars", "n_words"), "symbols": per("n_symbols", "n_words"), "dup_lines": per("n_dup_lines", "n_lines"),
-        "repeats": per("n_repeat_words", "n_words"), "upper": per("n_upper", "n_words"),
-    }
+def _figures() -> dict[str, Column]:
+    words = F.col("n_words") > 0
+    rates = {c: F.when(words, F.ln((F.col(count) + 0.5) / (F.col(of) + 1))) for c, (count, of) in RATES.items()}
+    return {"word_length": F.when(words, F.ln(F.col("word_chars") / F.col("n_words")))} | rates
 
 
-def thresholds(measured: DataFrame, reach: float = REACH, least_rows: int = LEAST_ROWS, k: int = SKETCH_K) -> DataFrame:
-    """A row per (lang, source): lower and upper fences of every ratio."""
-    names = list(RATIOS)
-    ratios = measured.select("lang", "source", *(v.cast("double").alias(c) for c, v in _ratios().items()))
+def _fences(sketches: DataFrame, reach: float, length_reach: float) -> DataFrame:
+    """The sketches' fences, as columns <figure>_min and <figure>_max in place of the sketches."""
+    for c in FIGURES:
+        sketches = sketches.withColumn(c, F.kll_sketch_get_quantile_double(c, F.array(F.lit(0.25), F.lit(0.75))))
+        low, high = F.col(c)[0], F.col(c)[1]
+        wide = (length_reach if c == "word_length" else reach) * (high - low)
+        sketches = sketches.withColumn(f"{c}_min", low - wide).withColumn(f"{c}_max", high + wide)
+    return sketches.drop(*FIGURES)
+
+
+#: Rates have outliers above, word length on both sides.
+SIDES = ("word_length_min", *(f"{c}_max" for c in FIGURES))
+
+
+def thresholds(measured: DataFrame, reach: float = REACH, length_reach: float = LENGTH_REACH, prior: int = PRIOR, k: int = SKETCH_K) -> DataFrame:
+    """A row per (lang, source): the fences of every figure."""
+    figures = measured.select("lang", "source", *(v.cast("double").alias(c) for c, v in _figures().items()))
     groups = materialise(
-        ratios.where("word_length is not null").groupBy("lang", "source")
-        .agg(F.count(F.lit(1)).alias("rows"), *(F.kll_sketch_agg_double(c, k).alias(c) for c in names)),
+        figures.where("word_length is not null").groupBy("lang", "source")
+        .agg(F.count(F.lit(1)).alias("rows"), *(F.kll_sketch_agg_double(c, k).alias(c) for c in FIGURES)),
         "quality-sketches",
     )
-    merged = lambda by: groups.groupBy(*by).agg(F.sum("rows").alias("rows"), *(F.kll_merge_agg_double(c, k).alias(c) for c in names))
-    langs = merged(["lang"]).select(F.col("lang").alias("l_lang"), F.col("rows").alias("l_rows"), *(F.col(c).alias(f"l_{c}") for c in names))
-    every = merged([]).select(*(F.col(c).alias(f"e_{c}") for c in names))
-    joined = groups.join(langs, groups.lang.eqNullSafe(F.col("l_lang"))).join(F.broadcast(every), F.lit(True))
-    out = joined
-    for c, (spread, sides) in RATIOS.items():
-        sketch = F.when(F.col("rows") >= least_rows, F.col(c)).when(F.col("l_rows") >= least_rows, F.col(f"l_{c}")).otherwise(F.col(f"e_{c}"))
-        q = F.kll_sketch_get_quantile_double(sketch, F.array(F.lit(0.25), F.lit(0.75)))
-        out = out.withColumn(f"q_{c}", q)
-        low, high = F.col(f"q_{c}")[0], F.col(f"q_{c}")[1]
-        wide = reach * F.greatest(high - low, F.lit(spread))
-        out = out.withColumn(f"{c}_min", F.round(low - wide, 3) if -1 in sides else F.lit(None).cast("double"))
-        out = out.withColumn(f"{c}_max", F.round(high + wide, 3))
-    return out.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *(f"{c}_{side}" for c in names for side in ("min", "max")))
+    fences = lambda by: _fences(groups.groupBy(*by).agg(F.sum("rows").alias("rows"), *(F.kll_merge_agg_double(c, k).alias(c) for c in FIGURES)), reach, length_reach)
+    renamed = lambda df, tag: df.select(*(F.col(c).alias(tag + c) for c in df.columns))
+    own, langs, every = _fences(groups, reach, length_reach), renamed(fences(["lang"]), "l_"), renamed(fences([]), "e_")
+    joined = own.join(langs, own.lang.eqNullSafe(F.col("l_lang"))).join(F.broadcast(every), F.lit(True))
+    meet = lambda n, fine, coarse: (n * fine + prior * coarse) / (n + prior)
+    both = [F.round(meet(F.col("rows"), F.col(c), meet(F.col("l_rows"), F.col(f"l_{c}"), F.col(f"e_{c}"))), 3).alias(c) for c in SIDES]
+    return joined.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *both)
 
 
 def judged(docs: DataFrame, **options) -> DataFrame:
@@ -138,8 +146,9 @@ def judged(docs: DataFrame, **options) -> DataFrame:
     fences = thresholds(measured, **options)
     joined = measured.join(fences, measured.lang.eqNullSafe(F.col("t_lang")) & measured.source.eqNullSafe(F.col("t_source")), "left")
     outlier = F.lit(False)
-    for c, v in _ratios().items():
-        outlier = outlier | F.coalesce(v < F.col(f"{c}_min"), F.lit(False)) | F.coalesce(v > F.col(f"{c}_max"), F.lit(False))
+    for side in SIDES:
+        figure = _figures()[side.rpartition("_")[0]]
+        outlier = outlier | F.coalesce(figure < F.col(side) if side.endswith("_min") else figure > F.col(side), F.lit(False))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~outlier).alias("kept")
