@@ -8,15 +8,16 @@ words (with fewer words, the whole sequence; without words, empty and linked wit
 2. Every tree puts a representative into the node of its minwise token. Small nodes (up to `small` members) are compared
    exhaustively; in larger ones all members are compared with a few pivots. Confirmed pairs give first components, so
    that a dense group is one component at a cost of some comparisons a member.
-3. Large nodes whose members lie in several components are settled by recursion. A node is small now if its minority (the
+3. Large nodes whose members lie in several components are searched by recursion. A node is small now if its minority (the
    members outside its largest component) is: every member of the minority is compared with every member of another
    component. Other nodes branch: each member goes to `branches` children, by its minwise tokens under permutations that
    the node draws. Nodes of the last level are compared like small ones whatever their minority: no member, node or pair
-   is ever left out, only pairs that are in one component already.
-4. Candidates are ranked by the agreement of 128 16-bit minwise values; those with fewer than `agree` equal ones (5 standard
-   deviations below the mean of a pair at the limit, 1e-6) are none. Confirmation is on full sets, which meet in the cell
-   where the pair was found, so that a set moves once a cell and not once a pair: first the closest pair of a document
-   or of two components, then every pair whose ends are still in different components.
+   is ever left out, only pairs that are in one component already. A comparison emits no pairs but a spanning forest of
+   the components that it finds close; what the forests connect is a cluster.
+4. A candidate agrees in at least `agree` of 128 16-bit minwise values (5 standard deviations below the mean of a pair at
+   the limit, 1e-6). Candidates are confirmed on full sets: those of step 2 in the cell where they were found, the closest
+   pair of a document first, then every pair whose ends are still in different components; those of step 3 in their
+   cluster, the minority with all members in bounded cells, whose output again is a spanning forest, of links.
 
 Recall: a pair at the limit p shares no node of level 0 in one tree with probability 1 - p, and each of at most `levels`
 branchings parts it with (1 - p)**branches. Ten trees at p = 0.85 miss it with at most 6e-9 where nodes are small and
@@ -50,7 +51,8 @@ from tapeline.session import materialise
 
 TREES, SKETCH = 10, 128
 SMALL, PIVOTS, LEVELS, BRANCHES, PERCENT, WIDTH = 32, 2, 3, 2, 85, 3
-MINORITY, CELL, MINOR, HOT = 64, 1024, 256, 4096  # minority of a small node; members and minority of a cell; most hot nodes
+MINORITY, CELL, MINOR, HOT = 2048, 4096, 1024, 4096  # minority of a small node; members and minority of a cell; most hot nodes
+SHINGLES = 1 << 20  # of the members of a cell that holds full sets
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _FACTORS = _rng.integers(0, 2**31, SKETCH + TREES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -213,22 +215,56 @@ def _across(percent: int, agree: int):
     return run
 
 
-def _between(percent: int, agree: int):
-    """Pairs of a cell: its minority with the members of other components."""
+def _linked(a: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the sets `others` are linked with the set `a`."""
+    out, at = [np.zeros(0, bool)], 0
+    while at < len(others):
+        ends = np.cumsum([len(x) for x in others[at : at + 4096]])
+        some = others[at : at + max(1, int(np.searchsorted(ends, 1 << 21)))]
+        ends = ends[: len(some)]
+        sizes = np.diff(ends, prepend=0)
+        flat = np.concatenate(some)
+        found = a[np.minimum(np.searchsorted(a, flat), len(a) - 1)] == flat
+        both = np.add.reduceat(found, ends - sizes, dtype=np.int64)
+        out.append(100 * both >= percent * (len(a) + sizes - both))
+        at += len(some)
+    return np.concatenate(out)
+
+
+def _between(percent: int, agree: int, exact: bool):
+    """A spanning forest of each cell's components: of its minority with all members, by candidates, or by links of full
+    sets (`exact`). Rows (a, b) are components, or documents if exact."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, edges in _runs(batches, "cell"):
-            ids, sizes, label, cell = (batch.column(k).to_numpy() for k in ("rep", "n", "label", "cell"))
+            ids, sizes, label = (batch.column(k).to_numpy() for k in ("rep", "n", "label"))
             sketches = _sketches(batch.column("sketch"))
             minor = batch.column("minor").to_numpy(zero_copy_only=False).astype(bool)
+            found = []
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 few, many = lo + np.flatnonzero(minor[lo:hi]), lo + np.flatnonzero(~minor[lo:hi])
-                i, j = np.nonzero((label[few][:, None] != label[many][None, :]) & _near(sizes[few][:, None], sizes[many][None, :], percent))
-                i, j = few[i], many[j]
-                est = _agreement(sketches, sketches, i, j)
-                ok = est >= agree
-                if ok.any():
-                    yield _emit(ids[i[ok]], ids[j[ok]], est[ok], cell[i[ok]])
+                root = np.unique(label[lo:hi], return_inverse=True)[1]  # the tree of the forest that a row is in
+                at, step = 0, 1
+                while at < len(few):
+                    rows = few[at : at + step]
+                    at, step = at + step, min(2 * step, 64)
+                    i, j = np.nonzero((root[rows - lo][:, None] != root[many - lo][None, :]) & _near(sizes[rows][:, None], sizes[many][None, :], percent))
+                    i, j = rows[i], many[j]
+                    ok = _agreement(sketches, sketches, i, j) >= agree
+                    i, j = i[ok], j[ok]
+                    if exact and len(i):
+                        sets = lambda k: batch.column("items")[int(k)].values.to_numpy().view(np.uint64)  # noqa: E731, B023
+                        ends = np.flatnonzero(np.diff(i)) + 1
+                        ok = [_linked(sets(x[0]), [sets(k) for k in y], percent) for x, y in zip(np.split(i, ends), np.split(j, ends), strict=True)]
+                        ok = np.concatenate(ok)
+                        i, j = i[ok], j[ok]
+                    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                        p, q = root[x - lo], root[y - lo]
+                        if p != q:
+                            root[root == p] = q
+                            found.append((ids[x], ids[y]) if exact else (label[x], label[y]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*found, strict=True)], ["a", "b"])
 
     return run
 
@@ -236,17 +272,6 @@ def _between(percent: int, agree: int):
 def _confirm(percent: int):
     """The linked pairs of each cell: rows without `b` hold the set of `a`, and come before the rows of pairs."""
 
-    def linked(a: np.ndarray, others: list[np.ndarray]) -> Iterator[np.ndarray]:
-        at = 0
-        while at < len(others):
-            ends = np.cumsum([len(x) for x in others[at : at + 4096]])
-            some = others[at : at + max(1, int(np.searchsorted(ends, 1 << 22)))]
-            flat, sizes = np.concatenate(some), ends[: len(some)] - np.concatenate([[0], ends[: len(some) - 1]])
-            found = a[np.minimum(np.searchsorted(a, flat), len(a) - 1)] == flat
-            both = np.add.reduceat(found, ends[: len(some)] - sizes, dtype=np.int64)
-            yield 100 * both >= percent * (len(a) + sizes - both)
-            at += len(some)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sets = None, {}
         for batch in batches:
@@ -265,7 +290,7 @@ def _confirm(percent: int):
                 elif first[lo] in sets:
                     b = np.array([x for x in second[lo:hi].tolist() if x in sets], np.int64)
                     if len(b):
-                        b = b[np.concatenate(list(linked(sets[first[lo]], [sets[x] for x in b.tolist()])))]
+                        b = b[_linked(sets[first[lo]], [sets[x] for x in b.tolist()], percent)]
                         found.append((np.full(len(b), first[lo]), b))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
@@ -312,9 +337,10 @@ def _with_figures(rows: DataFrame, figures: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(hot), "node").unionByName(dealt)
 
 
-def _parts(count: str, shingles: str, most: int) -> Column:
-    """Cells for `count` rows with `shingles` in all, of about `most` rows and 2048 times as many shingles."""
-    return F.ceil(F.greatest(F.col(count) / most, F.col(shingles) / (2048 * most))).cast("int")
+def _parts(count: str, most: int, shingles: str | None = None, most_shingles: int = SHINGLES) -> Column:
+    """Cells for `count` rows, of about `most`, and of about `most_shingles` of the `shingles` in all."""
+    rows = F.col(count) / most
+    return F.ceil(rows if shingles is None else F.greatest(rows, F.col(shingles) / most_shingles)).cast("int")
 
 
 def _each(parts: Column) -> Column:
@@ -367,7 +393,7 @@ class Join:
         return materialise(pairs.groupBy("a", "b").agg(F.max("est").alias("est"), F.min("cell").alias("cell")), "near-candidates")
 
     def _with_pivots(self, large: DataFrame) -> DataFrame:
-        cells = _parts("size", "shingles", CELL)
+        cells = _parts("size", CELL, "shingles")
         r = F.xxhash64("node", "rep")
         one = [F.min(F.when(F.pmod(r, F.lit(self.pivots)) == i, F.struct(r.alias("r"), *MEMBER))) for i in range(self.pivots)]
         chosen = large.groupBy("node").agg(F.first(cells).alias("cells"), F.array_compact(F.array(*one)).alias("p")).select("node", F.explode("p").alias("p"), "cells")
@@ -376,68 +402,73 @@ class Join:
         met = dealt.join(chosen, ["node", "c"]).select(_in_tree(_tree(), "node", "c").alias("cell"), *MEMBER, *(f"p_{c}" for c in MEMBER))
         return met.mapInArrow(_across(self.percent, self.agree), PAIRS)
 
-    def _minority_pairs(self, members: DataFrame) -> DataFrame:
-        """Pairs between components in nodes with their figures: cells of up to about CELL members and MINOR of the minority,
-        every cell of a node's members against every cell of its minority."""
-        cells, parts = _parts("size", "shingles", CELL), _parts("outside", "shingles_outside", MINOR)
-        columns = [*MEMBER, "label"]
-        key = _in_tree(_tree(), "node", "c", "p").alias("cell")
-        many = members.select("node", *columns, F.pmod(F.xxhash64("rep"), cells).cast("int").alias("c"), _each(parts).alias("p"))
-        few = members.where("label != main").withColumn("p", F.pmod(F.xxhash64("rep", F.lit(1)), parts).cast("int")).select("node", *columns, "p", _each(cells).alias("c"))
-        rows = many.select(key, *columns, F.lit(False).alias("minor")).union(few.select(key, *columns, F.lit(True).alias("minor")))
-        return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_between(self.percent, self.agree), PAIRS)
+    def _forest(self, members: DataFrame, cells: Column, parts: Column, exact: bool = False) -> DataFrame:
+        """Forests (a, b) of the nodes of `members`, which have the node's `main` component: its members are dealt into `cells`
+        and its minority into `parts`, and each of the ones meets each of the others."""
+        columns = [*MEMBER, "label", *(["items"] if exact else [])]
+        many = members.select("node", *columns, F.pmod(F.xxhash64("rep"), cells).cast("int").alias("c"), _each(parts).alias("p"), F.lit(False).alias("minor"))
+        few = members.where("label != main").select("node", *columns, _each(cells).alias("c"), F.pmod(F.xxhash64("rep", F.lit(1)), parts).cast("int").alias("p"), F.lit(True).alias("minor"))
+        rows = many.union(few).select(F.xxhash64("node", "c", "p").alias("cell"), *columns, "minor")
+        return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_between(self.percent, self.agree, exact), "a long, b long")
 
     def branch(self, large: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs (a, b, est) between different components of `labels` among the members of large nodes."""
+        """A forest (a, b) of the components of `labels` that have candidates among the members of large nodes."""
         known = labels.select(F.col("v").alias("rep"), "label")
         nodes = large.select("node", *MEMBER).join(known, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         found = []
         for level in range(self.levels + 1):
             nodes = materialise(nodes, "near-members")
-            by_label = nodes.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
-            figures = by_label.groupBy("node").agg(F.sum("c").alias("size"), F.sum("s").alias("shingles"), F.max(F.struct("c", "label", "s")).alias("m"))
-            outside = [(F.col("size") - F.col("m.c")).alias("outside"), (F.col("shingles") - F.col("m.s")).alias("shingles_outside")]
-            figures = materialise(figures.select("node", "size", "shingles", F.col("m.label").alias("main"), *outside).where("outside > 0"), "near-figures")
+            figures = nodes.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("m"))
+            figures = figures.select("node", "size", F.col("m.label").alias("main"), (F.col("size") - F.col("m.c")).alias("outside")).where("outside > 0")
+            figures = materialise(figures, "near-figures")
             live = _with_figures(nodes, figures)
             small = F.lit(level == self.levels) | (F.col("outside") <= self.minority)
-            found.append(materialise(self._minority_pairs(live.where(small)), "near-pairs"))
+            found.append(materialise(self._forest(live.where(small), _parts("size", CELL), _parts("outside", MINOR)), "near-forest"))
             if level == self.levels or figures.where(F.col("outside") > self.minority).isEmpty():
                 break
             children = F.explode(F.array(*(_child(level, i) for i in range(self.branches))))
             nodes = live.where(~small).select(children.alias("child"), *MEMBER, "label").withColumnRenamed("child", "node")
-        return self._distinct(reduce(DataFrame.union, found))
+        return reduce(DataFrame.union, found).distinct()
 
-    def _labelled(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        """The pairs between different components, with these (la < lb)."""
+    def between_components(self, labels: DataFrame, forest: DataFrame) -> DataFrame:
+        """Links (a, b) between the components of each cluster of `forest`, on full sets: those that join all that are linked."""
+        clusters = components(forest).select(F.col("v").alias("node"), F.col("label").alias("cluster"))
+        known = labels.select(F.col("v").alias("rep"), "label")
+        reps = self.classes.select(*MEMBER).join(known, "rep", "left").withColumn("node", F.coalesce("label", "rep")).drop("label")
+        by_label = materialise(reps.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).join(clusters, "node"), "near-figures")
+        sums = by_label.groupBy("cluster").agg(F.sum("size").alias("all"), F.sum("shingles").alias("all_shingles"), F.max(F.struct("size", "node", "shingles")).alias("m"))
+        sums = sums.select(
+            "cluster", _parts("all", CELL, "all_shingles").alias("cells"), F.col("m.node").alias("main"), (F.col("all") - F.col("m.size")).alias("outside"),
+            (F.col("all_shingles") - F.col("m.shingles")).alias("outside_shingles"),
+        )
+        figures = materialise(by_label.join(sums, "cluster").select("node", "size", "cluster", "main", "cells", _parts("outside", MINOR, "outside_shingles", SHINGLES // 2).alias("parts")), "near-clusters")
+        members = _with_figures(reps, figures).select(F.col("cluster").alias("node"), F.col("node").alias("label"), *MEMBER, "main", "cells", "parts")
+        members = members.join(self.sets.withColumnRenamed("id", "rep"), "rep")
+        return self._forest(members, F.col("cells"), F.col("parts"), exact=True)
+
+    def _settle(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Confirm the closest pair of each document, then all `pairs` whose ends are still apart: links and their components."""
+        closest = materialise(pairs.groupBy("b").agg(F.max(F.struct("est", "a", "cell")).alias("m")).select("m.a", "b", "m.cell"), "near-closest")
+        links = materialise(self.confirmed(closest), "near-links")
+        labels = components(links)
         left, right = (labels.select(F.col("v").alias(v), F.col("label").alias(f"l{v}")) for v in "ab")
-        both = pairs.join(left, "a", "left").join(right, "b", "left").withColumn("la", F.coalesce("la", "a")).withColumn("lb", F.coalesce("lb", "b"))
-        return both.where("la != lb").select("a", "b", "est", "cell", F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb"))
-
-    def _settle(self, pairs: DataFrame, closest: DataFrame, links: DataFrame | None, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """Confirm the `closest` pairs, then all of `pairs` whose ends are still apart: all links so far and their components."""
-        for first in (True, False):
-            if not first:
-                rest = self._labelled(pairs, labels).join(closest.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "cell")
-            new = materialise(self.confirmed(closest if first else materialise(rest, "near-open")), "near-links")
-            if labels is None or not new.isEmpty():
-                links = new if links is None else links.union(new)
-                labels = components(links)
-        return links, labels
+        apart = pairs.join(left, "a", "left").join(right, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b", "cell")
+        new = materialise(self.confirmed(materialise(apart.join(closest, ["a", "b"], "left_anti"), "near-open")), "near-links")
+        return (links, labels) if new.isEmpty() else (links.union(new), components(links.union(new)))
 
     def labels(self) -> DataFrame:
         """(v, label) for the representatives that are linked with another."""
         pairs, large = self.meet()
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
         self.build_sets(ids if large is None else ids.union(large.select(F.col("rep").alias("id"))))
-        closest = materialise(pairs.groupBy("b").agg(F.max(F.struct("est", "a", "cell")).alias("m")).select("m.a", "b", "m.cell"), "near-closest")
-        links, labels = self._settle(pairs, closest, None, None)
+        links, labels = self._settle(pairs)
         if large is None:
             return labels
-        pairs = self.branch(large, labels)
-        if pairs.isEmpty():
+        forest = materialise(self.branch(large, labels), "near-forest")
+        if forest.isEmpty():
             return labels
-        closest = self._labelled(pairs, labels).groupBy("la", "lb").agg(F.max(F.struct("est", "a", "b", "cell")).alias("m")).select("m.a", "m.b", "m.cell")
-        return self._settle(pairs, materialise(closest, "near-closest"), links, labels)[1]
+        new = materialise(self.between_components(labels, forest), "near-links")
+        return labels if new.isEmpty() else components(links.union(new))
 
     def rows(self) -> DataFrame:
         """One row per document: doc_id, place, n, component."""
