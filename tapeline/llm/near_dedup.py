@@ -51,7 +51,7 @@ from tapeline.session import materialise
 
 TREES, SKETCH = 10, 128
 SMALL, PIVOTS, LEVELS, BRANCHES, PERCENT, WIDTH = 32, 2, 3, 2, 85, 3
-MINORITY, CELL, MINOR, HOT = 2048, 4096, 1024, 4096  # minority of a small node; members and minority of a cell; most hot nodes
+MINORITY, CELL, MINOR, HOT = 2048, 2048, 1024, 4096  # minority of a small node; members and minority of a cell; most hot nodes
 SHINGLES = 1 << 20  # of the members of a cell that holds full sets
 
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -377,9 +377,10 @@ class Join:
     def meet(self) -> tuple[DataFrame, DataFrame | None]:
         """Pairs that level 0 of the trees finds, and the members of its large nodes (None: there are none)."""
         tagged = F.transform(F.slice("tokens", 1, self.trees), lambda x, i: _in_tree(i, x))
-        nodes = self.classes.select(*MEMBER, F.explode(tagged).alias("node"))
+        nodes = self.classes.select("rep", "n", F.explode(tagged).alias("node"))
         figures = materialise(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).where("size > 1"), "near-sizes")
-        live = materialise(_with_figures(nodes, figures), "near-nodes")
+        # Sketches join the rows that are left: most nodes have one member.
+        live = materialise(_with_figures(nodes, figures).join(self.classes.select("rep", "sketch"), "rep"), "near-nodes")
         few = live.where(F.col("size") <= self.small).select(F.col("node").alias("cell"), *MEMBER).repartition("cell").sortWithinPartitions("cell")
         pairs = few.mapInArrow(_within(self.percent, self.agree), PAIRS)
         large = live.where(F.col("size") > self.small)
