@@ -5,20 +5,24 @@ space, trimmed; <br> is white space). A block is `chrome` if it lies in an eleme
 visibility is a menu, header, footer, sidebar, notice, advert, form or comment section; `article` if it lies in an article
 or main element, or in one named as content; else `other`. Scripts, styles, head and comments have no blocks.
 
-The token streams of a host's pages are concatenated, page after page, and sorted into a suffix array by prefix doubling.
-Neighbours in it that agree on `run` tokens are repeated substrings; those found on `least_pages` or more distinct pages are
-boilerplate, and tokens they cover are marked. A page's main text is its article blocks; a page without any keeps those
-of its `other` blocks of which less than half is covered. Article blocks stay even where they repeat, since copies of an
-article are articles too; that is the one place where structure overrules the suffix array.
-
-A host is dealt into parts of about `part_pages` pages by a hash of page_id, so a host of any size is many bounded groups,
-each with enough pages to show what repeats. Small hosts share a task. Null html: empty text. Null or relative url: host
-null, one host of its own. Repeated rows count as one page for repetition if their page_id is equal, and each gets its
-text. Empty table: no rows.
+The token streams of a host's pages (what stands outside their articles) are concatenated, page after page, and sorted into
+a suffix array by prefix doubling. Neighbours in it that agree on `run` tokens are repeated substrings; those found on
+`least_pages` or more distinct pages of the host are boilerplate, and tokens they cover are marked. A page's main text is
+its article blocks and those of its `other` blocks of which less than half is covered, on every page alike. Article blocks
+stay even where they repeat, since copies of an article are articles too, and chrome goes even where it is unique: there
+structure overrules the suffix array.
+
+A host is dealt into parts of about `part_pages` pages by a hash of page_id, so a host of any size is many bounded groups.
+What repeats is counted over the host, not the part: the suffix array of each part of a divided host gives its distinct
+runs with their pages, a Spark aggregate on (host, run) adds these up, and runs on enough pages go back to the parts that
+have them. So a run counts on the same pages however the host is dealt. Small hosts share a task. Null html: empty text.
+Null or relative url: host null, one host of its own. Repeated rows count as one page for repetition if their page_id is
+equal (a null page_id is one page), and each gets its text. Empty table: no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as htmllib
 import re
 from collections.abc import Iterator
@@ -29,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeline.llm import texts
 from tapeline.session import materialise
 
 RUN, LEAST_PAGES, PART_PAGES, TASK_PAGES = 8, 3, 200, 1000
@@ -137,13 +142,18 @@ def blocks(page: str) -> list[tuple[str, str]]:
     return out
 
 
-MARK, GAP = "\x1e", "\x1f"
+MARK = "\x1e"
+
+
+def _parse(keep: str):
+    """The blocks of each page whose place is in `keep`."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parsed = [MARK.join(place + text.replace(MARK, " ") for place, text in blocks(page.as_py() or "") if place in keep) for page in batch.column("html")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(parsed, pa.string())], ["page_id", "url", "host", "blocks"])
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        parsed = [MARK.join(place + text.replace(MARK, " ") for place, text in blocks(page.as_py() or "")) for page in batch.column("html")]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(parsed, pa.string())], ["page_id", "url", "host", "blocks"])
+    return run
 
 
 def suffix_array(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,49 +174,96 @@ def suffix_array(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     return order, rank[order][1:] == rank[order][:-1]
 
 
-def covered(streams: list[list[str]], owners: list[int], run: int = RUN, least_pages: int = LEAST_PAGES) -> list[np.ndarray]:
-    """For each stream, which of its tokens lie in a substring of `run` tokens that `least_pages` distinct owners have."""
-    sizes = np.array([len(s) for s in streams])
-    numbers: dict[str, int] = {}
-    flat = np.fromiter((numbers.setdefault(t, len(numbers)) for s in streams for t in (*s, None)), np.int64, int(sizes.sum()) + len(streams))
-    ends = np.cumsum(sizes + 1) - 1
-    flat[ends] = len(numbers) + np.arange(len(streams))  # a separator of its own ends each stream
-    order, same = suffix_array(flat, run)
-    owner = np.repeat(np.array(owners), sizes + 1)[order]
-    group = np.concatenate([[0], np.cumsum(~same)])
-    pairs = np.unique(group * (int(owner.max(initial=0)) + 1) + owner)
-    pages = np.bincount(pairs // (int(owner.max(initial=0)) + 1), minlength=group[-1] + 1)
-    starts = order[pages[group] >= least_pages]
-    change = np.zeros(len(flat) + run + 1, np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + run, -1)
-    marked = np.cumsum(change)[: len(flat)] > 0
-    return [marked[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+class Repeats:
+    """The repeated runs of some token streams, by their suffix array; `owners` are the pages of the streams."""
+
+    def __init__(self, streams: list[list[str]], owners: list[int], run: int = RUN):
+        self.run, self.sizes = run, np.array([len(s) for s in streams])
+        numbers: dict[str, int] = {}
+        flat = np.fromiter((numbers.setdefault(t, len(numbers)) for s in streams for t in (*s, None)), np.int64, int(self.sizes.sum()) + len(streams))
+        self.ends = np.cumsum(self.sizes + 1) - 1
+        self.own = np.array([int.from_bytes(hashlib.blake2b((t or "").encode(), digest_size=8).digest(), "little") for t in numbers], np.uint64)[flat]
+        flat[self.ends] = len(numbers) + np.arange(len(streams))  # a separator of its own ends each stream
+        self.order, same = suffix_array(flat, run)
+        owner = np.repeat(np.array(owners), self.sizes + 1)[self.order]
+        self.group = np.concatenate([[0], np.cumsum(~same)])
+        most = int(owner.max(initial=0)) + 1
+        self.pages = np.bincount(np.unique(self.group * most + owner) // most, minlength=self.group[-1] + 1)
+        # Runs that reach over the end of a stream are none.
+        left = np.repeat(self.ends, self.sizes + 1) - np.arange(len(flat))
+        self.whole = left[self.order] >= run
+
+    def hashes(self) -> np.ndarray:
+        """For each suffix in order: the hash of its first `run` tokens, the same in every part."""
+        out = np.zeros(len(self.own), np.uint64)
+        runs = texts.windows(self.own, self.run)
+        out[: len(runs)] = runs
+        return out[self.order].view(np.int64)
+
+    def found(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct runs: hash and number of pages."""
+        first = np.flatnonzero(np.concatenate([[True], self.group[1:] != self.group[:-1]]) & self.whole)
+        return self.hashes()[first], self.pages[self.group[first]]
+
+    def marks(self, least_pages: int = LEAST_PAGES, elsewhere: np.ndarray | None = None) -> list[np.ndarray]:
+        """For each stream, which of its tokens lie in a run on `least_pages` pages, or in one of `elsewhere` (hashes)."""
+        often = self.pages[self.group] >= least_pages
+        if elsewhere is not None and len(elsewhere):
+            often |= np.isin(self.hashes(), elsewhere)
+        starts = self.order[often & self.whole]
+        change = np.zeros(len(self.own) + self.run + 1, np.int64)
+        np.add.at(change, starts, 1)
+        np.add.at(change, starts + self.run, -1)
+        marked = np.cumsum(change)[: len(self.own)] > 0
+        return [marked[e - n : e] for e, n in zip(self.ends.tolist(), self.sizes.tolist(), strict=True)]
+
+
+def _pages_of(group: pd.DataFrame) -> list[list[tuple[str, str]]]:
+    return [[(b[0], b[1:]) for b in x.split(MARK)] if x else [] for x in group["blocks"]]
+
+
+def _repeats(group: pd.DataFrame, pages: list[list[tuple[str, str]]], run: int) -> Repeats:
+    owners = pd.factorize(group["page_id"], use_na_sentinel=False)[0].tolist()
+    return Repeats([[t for place, text in page if place != ARTICLE for t in text.split(" ")] for page in pages], owners, run)
+
+
+def _runs(run: int):
+    """The distinct runs of each part, with the number of its pages that have them."""
+
+    def task(pages: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (host, part), group in pages.groupby(["host", "part"], dropna=False, sort=False):
+            found, n = _repeats(group, _pages_of(group), run).found()
+            out.append(pd.DataFrame({"host": host, "part": part, "run": found, "n": n}))
+        return pd.concat(out)
+
+    return task
 
 
 def _main_texts(run: int, least_pages: int):
-    def texts_of(group: pd.DataFrame) -> list[str]:
-        pages = [[(b[0], b[1:]) for b in x.split(MARK)] if x else [] for x in group["blocks"]]
-        owners = pd.factorize(group["page_id"], use_na_sentinel=False)[0].tolist()
-        streams = [[t for _, text in page for t in text.split(" ")] for page in pages]
-        marks = covered(streams, owners, run, least_pages)
+    def texts_of(group: pd.DataFrame, elsewhere: np.ndarray) -> list[str]:
+        pages = _pages_of(group)
+        marks = _repeats(group, pages, run).marks(least_pages, elsewhere)
         out = []
         for page, mark in zip(pages, marks, strict=True):
             kept, at = [], 0
-            structured = any(place == ARTICLE for place, _ in page)
             for place, text in page:
+                if place == ARTICLE:
+                    kept.append(text)
+                    continue
                 n = text.count(" ") + 1
-                if place == ARTICLE or not structured and place == OTHER and 2 * mark[at : at + n].sum() < n:
+                if place == OTHER and 2 * mark[at : at + n].sum() < n:
                     kept.append(text)
                 at += n
             out.append("\n".join(kept))
         return out
 
-    def task(pages: pd.DataFrame) -> pd.DataFrame:
+    def task(pages: pd.DataFrame, elsewhere: pd.DataFrame) -> pd.DataFrame:
         pages = pages.reset_index(drop=True)
         found = pd.Series("", index=pages.index, dtype=object)
-        for _, group in pages.groupby(["host", "part"], dropna=False, sort=False):
-            found[group.index] = texts_of(group)
+        runs = {key: x["run"].to_numpy() for key, x in elsewhere.groupby(["host", "part"], dropna=False, sort=False)}
+        for key, group in pages.groupby(["host", "part"], dropna=False, sort=False):
+            found[group.index] = texts_of(group, runs.get(key, np.zeros(0, np.int64)))
         return pd.DataFrame({"page_id": pages["page_id"], "url": pages["url"], "text": found, "n_chars": found.str.len().astype("int64")})
 
     return task
@@ -221,9 +278,19 @@ def extract(pages: DataFrame, run: int = RUN, least_pages: int = LEAST_PAGES, pa
     # Written first, so that its size is known: hosts of more than one part are few, and broadcast where they are.
     large = materialise(counts.where(F.col("n") > part_pages).select(F.col("host").alias("l_host"), F.ceil(F.col("n") / part_pages).alias("parts")), "html-hosts")
     tasks = max(1, -(-pages.count() // TASK_PAGES))
-    parsed = rows.select("page_id", "url", "host", "html").mapInArrow(_parse, "page_id long, url string, host string, blocks string")
-    dealt = parsed.join(large, parsed.host == F.col("l_host"), "left").withColumn("part", F.pmod(F.xxhash64("page_id"), F.coalesce("parts", F.lit(1))))
-    keyed = dealt.select("page_id", "url", "host", "part", "blocks", F.pmod(F.xxhash64("host", "part"), F.lit(tasks)).alias("task"))
-    schema = "page_id long, url string, text string, n_chars long"
-    # As many partitions as tasks: their size follows from TASK_PAGES, whatever the session's number of partitions.
-    return keyed.repartition(tasks, "task").groupBy("task").applyInPandas(_main_texts(run, least_pages), schema)
+
+    def dealt(keep: str) -> DataFrame:
+        parsed = rows.select("page_id", "url", "host", "html").mapInArrow(_parse(keep), "page_id long, url string, host string, blocks string")
+        parsed = parsed.join(large, parsed.host == F.col("l_host"), "left").withColumn("part", F.pmod(F.xxhash64("page_id"), F.coalesce("parts", F.lit(1))))
+        return parsed.withColumn("task", F.pmod(F.xxhash64("host", "part"), F.lit(tasks)))
+
+    # Runs of the parts of divided hosts, added up over the host. As many partitions as tasks: their size follows from
+    # TASK_PAGES, whatever the session's number of partitions.
+    outside = dealt(CHROME + OTHER).where("parts is not null").select("page_id", "host", "part", "blocks", "task")
+    runs = materialise(outside.repartition(tasks, "task").groupBy("task").applyInPandas(_runs(run), "host string, part long, run long, n long"), "html-runs")
+    repeated = runs.groupBy("host", "run").agg(F.sum("n").alias("all")).where(F.col("all") >= least_pages).select("host", "run")
+    elsewhere = runs.where(F.col("n") < least_pages).join(repeated, ["host", "run"]).select("host", "part", "run", F.pmod(F.xxhash64("host", "part"), F.lit(tasks)).alias("task"))
+    keyed = dealt(CHROME + OTHER + ARTICLE).select("page_id", "url", "host", "part", "blocks", "task")
+    return keyed.repartition(tasks, "task").groupBy("task").cogroup(elsewhere.repartition(tasks, "task").groupBy("task")).applyInPandas(
+        _main_texts(run, least_pages), "page_id long, url string, text string, n_chars long"
+    )

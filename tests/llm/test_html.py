@@ -31,7 +31,7 @@ def test_structure(spark):
         None,
         "",
     )
-    assert got == ["T\nb", "a b <c> d\ne\nx\ny\ntail", "in bolder éé", "a < b\nc", "", ""]
+    assert got == ["T\nb\nout", "a b <c> d\ne\nx\ny\ntail", "in bolder éé\nother", "a < b\nc", "", ""]
 
 
 def test_repeated_runs_go_and_unique_ones_stay(spark):
@@ -47,7 +47,7 @@ def test_coverage_matches_brute_force():
     for _ in range(30):
         streams = [[str(t) for t in rng.integers(0, 4, rng.integers(0, 60))] for _ in range(6)]
         owners = rng.integers(0, 4, 6).tolist()
-        got = x.covered(streams, owners, run=4, least_pages=2)
+        got = x.Repeats(streams, owners, run=4).marks(least_pages=2)
         seen = {}
         for s, o in zip(streams, owners, strict=True):
             for i in range(len(s) - 3):
@@ -68,6 +68,23 @@ def test_large_host_is_dealt_out(spark):
     assert got == {i: f"page {i} has its own words {i * 31}" for i in range(60)}
 
 
+def test_runs_count_over_the_host_however_it_is_dealt(spark):
+    """A notice on three pages of a host goes, one on two stays, in one part and in many."""
+    rare = "<div>this one notice stands on only three pages of the host here</div>"
+    twice = "<div>and that other notice stands on no more than two pages</div>"
+    pages = [(rare if i in (5, 50, 95) else twice if i in (7, 70) else "") + f"<p>page {i} has its own words {i * 31} and more {i * 17}</p>" for i in range(100)]
+    rows = spark.createDataFrame([(i, "http://h.com/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    whole, parts = ({r.page_id: r.text for r in x.extract(rows, part_pages=n).collect()} for n in (1000, 4))
+    assert whole == parts
+    assert not any("this one notice" in t for t in whole.values()) and sum("and that other" in t for t in whole.values()) == 2
+
+
+def test_structured_pages_keep_what_is_unique_outside_the_article(spark):
+    same = "<div>Read on about our other fine things in the shop today please</div>"
+    pages = [f"{same}<div>Teaser {i} of its own</div><article><p>text {i}</p></article>" for i in range(4)]
+    assert texts(spark, *pages) == [f"Teaser {i} of its own\ntext {i}" for i in range(4)]
+
+
 def test_awkward_pages(spark):
     rows = [(None, None, "<p>x"), (1, "u", "<p>y"), (1, "u", "<p>y"), (2, "http://h/", "<p>" + "w " * 50_000)]
     got = x.extract(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS host", "2 AS part", "3 AS blocks")).collect()
