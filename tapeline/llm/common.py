@@ -10,6 +10,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Where a row stands: a file (its hash) and its row there.
+PLACE = "struct<file: bigint, row: bigint>"
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Texts that are all ASCII take the faster built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

@@ -8,7 +8,7 @@ codeword of least weighted loss. The score is that codeword's share of exp(-loss
 flagged ambiguous.
 
 Training rows: non-null lang, and crc32 of the doc_id as text modulo 3 is not 1. Null text, or none with a letter: `und`,
-score 0. No training rows: `und` for all. A null doc_id is never learned from and counts as held out. Empty table: no
+score 0. No training rows: `und` for all. Rows are dropped one by one, whatever their doc_id. A null doc_id is never learned from and counts as held out. Empty table: no
 rows. Repeated rows get the same answer. The driver gets one count per language and bucket.
 """
 
@@ -19,11 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeline.llm import texts
-from tapeline.llm.common import without
+from tapeline.llm.common import PLACE, without
+from tapeline.llm.exact_dedup import located
 
 BITS, AMBIGUOUS_BELOW, EVIDENCE = 13, 0.5, 400
 UNKNOWN = "und"
@@ -163,24 +164,31 @@ def _predict(model, ambiguous_below: float):
                     scores.append(float(share[i]) if known else 0.0)
             flags = [s < ambiguous_below for s in scores]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(flags, pa.bool_())],
-                ["doc_id", "held_out", "lang_pred", "score", "ambiguous"],
+                [batch.column("doc_id"), batch.column("place"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(flags, pa.bool_())],
+                ["doc_id", "place", "held_out", "lang_pred", "score", "ambiguous"],
             )
 
     return run
 
 
-def identify(docs: DataFrame, ambiguous_below: float = AMBIGUOUS_BELOW) -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score, ambiguous."""
+def _identified(docs: DataFrame, place: Column, ambiguous_below: float) -> DataFrame:
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(True))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), held.alias("held_out"))
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), place.alias("place"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), held.alias("held_out")
+    )
     model = fit(rows.where("not held_out and lang is not null").select("lang", "text"))
-    return rows.select("doc_id", "held_out", "text").mapInArrow(
-        _predict(spark.sparkContext.broadcast(model), ambiguous_below), "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean"
+    return rows.select("doc_id", "place", "held_out", "text").mapInArrow(
+        _predict(spark.sparkContext.broadcast(model), ambiguous_below), f"doc_id long, place {PLACE}, held_out boolean, lang_pred string, score double, ambiguous boolean"
     )
 
 
-def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` with a language: neither `und` nor ambiguous. Rows with a null doc_id can't be told apart and stay."""
-    return without(docs, F.col("doc_id").cast("long"), identify(docs).where(f"lang_pred = '{UNKNOWN}' or ambiguous").select("doc_id").distinct())
+def identify(docs: DataFrame, ambiguous_below: float = AMBIGUOUS_BELOW) -> DataFrame:
+    """One row per document: doc_id, held_out, lang_pred, score, ambiguous."""
+    return _identified(docs, F.lit(None).cast(PLACE), ambiguous_below).drop("place")
+
+
+def drop_unidentified(docs: DataFrame, ambiguous_below: float = AMBIGUOUS_BELOW) -> DataFrame:
+    """The rows of `docs` with a language: neither `und` nor ambiguous. Each row by itself, whatever its doc_id."""
+    docs, place = located(docs)
+    return without(docs, place, _identified(docs, place, ambiguous_below).where(f"lang_pred = '{UNKNOWN}' or ambiguous").select("place"))

@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeline.llm import texts
-from tapeline.llm.common import without
+from tapeline.llm.common import PLACE, without
 from tapeline.llm.exact_dedup import located
 from tapeline.session import materialise
 
@@ -101,9 +101,6 @@ def _signatures(width: int):
     return run
 
 
-PLACE = "struct<file: bigint, row: bigint>"
-
-
 def signatures(docs: DataFrame, width: int = WIDTH, place: Column | None = None) -> DataFrame:
     """doc_id, place, n (set size), digest of the set, sketch, tree tokens."""
     place = F.lit(None).cast(PLACE) if place is None else place

@@ -37,6 +37,13 @@ def test_awkward_rows(awkward):
     assert kept.columns == awkward.columns and not {3, 4, 5, 8} & {r.doc_id for r in kept.select("doc_id").collect()}
 
 
+def test_rows_that_share_an_id_are_judged_apart(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    twice = docs.union(spark.createDataFrame([(0, "12 34", None), (None, "!!", None)], "doc_id long, text string, lang string"))
+    kept = x.drop_unidentified(twice).collect()
+    assert any(r.doc_id == 0 for r in kept) and not {"12 34", "!!"} & {r.text for r in kept}
+
+
 def test_empty_and_unlabelled(awkward, empty):
     assert x.identify(empty).count() == 0 == x.drop_unidentified(empty).count()
     assert {r.lang_pred for r in x.identify(awkward.selectExpr("doc_id", "text", "cast(null as string) AS lang")).collect()} == {"und"}

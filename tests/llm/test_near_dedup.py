@@ -4,14 +4,14 @@ import re
 from tapeline.llm import near_dedup as x
 
 
-def sets(text):
+def sets(text, width=3):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
-    return frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) if len(w) > 2 else frozenset([tuple(w)] if w else [])
+    return frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
 
 
-def brute(rows):
+def brute(rows, width=3, percent=85):
     """Component of each doc_id by comparing all pairs."""
-    s = {i: sets(t) for i, t in rows if i is not None}
+    s = {i: sets(t, width) for i, t in rows if i is not None}
     parent = {i: i for i in s}
 
     def find(i):
@@ -23,7 +23,7 @@ def brute(rows):
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
             both = len(s[a] & s[b])
-            if s[a] and s[b] and 100 * both >= 85 * (len(s[a]) + len(s[b]) - both):
+            if s[a] and s[b] and 100 * both >= percent * (len(s[a]) + len(s[b]) - both):
                 p, q = find(a), find(b)
                 parent[max(p, q)] = min(p, q)
     return {i: find(i) for i in s}

@@ -39,7 +39,7 @@ def test_duplicates(stages):
     want = {keep for _, keep, _ in equal_groups([(r.doc_id, r.text) for r in before.collect()])}
     assert sorted(r.doc_id for r in after.collect()) == sorted(want)
     _, before, after = stages[2]
-    found = components([(r.doc_id, r.text) for r in before.collect()])
+    found = components([(r.doc_id, r.text) for r in before.collect()], width=5, percent=80)
     assert sorted(r.doc_id for r in after.collect()) == sorted(set(found.values()))
 
 
