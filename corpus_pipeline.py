@@ -8,6 +8,11 @@ from tapeline.llm import exact_dedup, langid, mixing, near_dedup, packing
 from tapeline.session import ship, work_path
 
 
+#: Near duplicates of the corpus: shingles of five words, a similarity of 0.8 or more. (The query of the operator alone has
+#: a contract of its own, three words and 0.85.)
+WIDTH, PERCENT = 5, 80
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     return langid.drop_unidentified(docs)
@@ -20,7 +25,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return near_dedup.drop_near_duplicates(docs)
+    return near_dedup.drop_near_duplicates(docs, width=WIDTH, percent=PERCENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,11 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, set here only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tapeline-")
-        spark.conf.set("spark.checkpoint.dir", path)
+    """The folder that driver and executors share: `spark.checkpoint.dir`; where it is unset (it can't be set later), a
+    folder in the warehouse, which they share too."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_tapeline"
     return path.rstrip("/")
 
 
