@@ -15,9 +15,9 @@ words (with fewer words, the whole sequence; without words, empty and linked wit
    is ever left out, only pairs that are in one component already. A comparison emits no pairs but a spanning forest of
    the components that it finds close; what the forests connect is a cluster.
 4. A candidate agrees in at least `agree` of 128 16-bit minwise values (5 standard deviations below the mean of a pair at
-   the limit, 1e-6). Candidates are confirmed on full sets: those of step 2 in the cell where they were found, the closest
-   pair of a document first, then every pair whose ends are still in different components; those of step 3 in their
-   cluster, the minority with all members in bounded cells, whose output again is a spanning forest, of links.
+   the limit, 1e-6). Candidates are confirmed on full sets: those of step 2 in the cell where they were found, so that a
+   set moves once a cell and not once a pair; those of step 3 in their cluster, the minority with all members of large
+   nodes in bounded cells, whose output again is a spanning forest, of links.
 
 Recall: a pair at the limit p shares no node of level 0 in one tree with probability 1 - p, and each of at most `levels`
 branchings parts it with (1 - p)**branches. Ten trees at p = 0.85 miss it with at most 6e-9 where nodes are small and
@@ -113,15 +113,14 @@ def _full_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, held, size = 0, [], 0
-            ids = batch.column("doc_id")
+            keys = [batch.column(k) for k in ("doc_id", "paired", "large")]
             for i, items in enumerate(_sets(batch.column("text"), width)):
                 held.append(items.view(np.int64))
                 size += len(items)
-                if size > 1 << 20 or i == len(ids) - 1:
+                if size > 1 << 20 or i == batch.num_rows - 1:
                     ends = np.cumsum([0] + [len(x) for x in held]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.slice(at, len(held)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held)))], ["id", "items"]
-                    )
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held)))
+                    yield pa.RecordBatch.from_arrays([*(k.slice(at, len(held)) for k in keys), lists], ["id", "paired", "large", "items"])
                     at, held, size = i + 1, [], 0
 
     return run
@@ -358,16 +357,20 @@ class Join:
             "near-classes",
         )
 
-    def build_sets(self, ids: DataFrame) -> None:
-        """Full sets of the documents in `ids` (id), from their texts, which are shuffled; merging whatever the
-        sizes, so that the cost grows as the input does."""
-        wanted = self.docs.join(ids.distinct().hint("merge"), F.col("doc_id") == F.col("id"), "left_semi")
-        self.sets = materialise(wanted.mapInArrow(_full_sets(self.width), "id long, items array<long>"), "near-sets")
+    def build_sets(self, pairs: DataFrame, large: DataFrame | None) -> None:
+        """Full sets of the documents of `pairs` and of `large` nodes, flagged so that each use moves its own, from their texts,
+        which are shuffled; merging whatever the sizes, so that the cost grows as the input does."""
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id"), F.lit(True).alias("paired"), F.lit(False).alias("large"))
+        if large is not None:
+            ids = ids.union(large.select("rep", F.lit(False), F.lit(True)))
+        ids = ids.groupBy("id").agg(F.max("paired").alias("paired"), F.max("large").alias("large"))
+        wanted = self.docs.join(ids.hint("merge"), F.col("doc_id") == F.col("id")).select("doc_id", "paired", "large", "text")
+        self.sets = materialise(wanted.mapInArrow(_full_sets(self.width), "id long, paired boolean, large boolean, items array<long>"), "near-sets")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b, cell) of a written table whose full sets are linked."""
         needed = pairs.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = needed.join(self.sets, "id").select("cell", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "items")
+        sets = needed.join(self.sets.where("paired"), "id").select("cell", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "items")
         rows = sets.union(pairs.select("cell", "a", "b", F.lit(None).cast("array<long>"))).withColumn("paired", F.col("b").isNotNull())
         return rows.repartition("cell").sortWithinPartitions("cell", "paired", "a").drop("paired").mapInArrow(_confirm(self.percent), "a long, b long").distinct()
 
@@ -428,11 +431,12 @@ class Join:
             nodes = live.where(~small).select(children.alias("child"), *MEMBER, "label").withColumnRenamed("child", "node")
         return reduce(DataFrame.union, found).distinct()
 
-    def between_components(self, labels: DataFrame, forest: DataFrame) -> DataFrame:
-        """Links (a, b) between the components of each cluster of `forest`, on full sets: those that join all that are linked."""
+    def between_components(self, large: DataFrame, labels: DataFrame, forest: DataFrame) -> DataFrame:
+        """Links (a, b) between the components of each cluster of `forest`, on full sets: those that join all that are linked.
+        Only members of large nodes can have links that aren't known: documents that meet in a small node were compared there."""
         clusters = components(forest).select(F.col("v").alias("node"), F.col("label").alias("cluster"))
         known = labels.select(F.col("v").alias("rep"), "label")
-        reps = self.classes.select(*MEMBER).join(known, "rep", "left").withColumn("node", F.coalesce("label", "rep")).drop("label")
+        reps = large.groupBy("rep").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")).join(known, "rep", "left").withColumn("node", F.coalesce("label", "rep")).drop("label")
         by_label = materialise(reps.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).join(clusters, "node"), "near-figures")
         sums = by_label.groupBy("cluster").agg(F.sum("size").alias("all"), F.sum("shingles").alias("all_shingles"), F.max(F.struct("size", "node", "shingles")).alias("m"))
         sums = sums.select(
@@ -441,31 +445,21 @@ class Join:
         )
         figures = materialise(by_label.join(sums, "cluster").select("node", "size", "cluster", "main", "cells", _parts("outside", MINOR, "outside_shingles", SHINGLES // 2).alias("parts")), "near-clusters")
         members = _with_figures(reps, figures).select(F.col("cluster").alias("node"), F.col("node").alias("label"), *MEMBER, "main", "cells", "parts")
-        members = members.join(self.sets.withColumnRenamed("id", "rep"), "rep")
+        members = members.join(self.sets.where("large").select(F.col("id").alias("rep"), "items"), "rep")
         return self._forest(members, F.col("cells"), F.col("parts"), exact=True)
 
-    def _settle(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Confirm the closest pair of each document, then all `pairs` whose ends are still apart: links and their components."""
-        closest = materialise(pairs.groupBy("b").agg(F.max(F.struct("est", "a", "cell")).alias("m")).select("m.a", "b", "m.cell"), "near-closest")
-        links = materialise(self.confirmed(closest), "near-links")
-        labels = components(links)
-        left, right = (labels.select(F.col("v").alias(v), F.col("label").alias(f"l{v}")) for v in "ab")
-        apart = pairs.join(left, "a", "left").join(right, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b", "cell")
-        new = materialise(self.confirmed(materialise(apart.join(closest, ["a", "b"], "left_anti"), "near-open")), "near-links")
-        return (links, labels) if new.isEmpty() else (links.union(new), components(links.union(new)))
-
     def labels(self) -> DataFrame:
         """(v, label) for the representatives that are linked with another."""
         pairs, large = self.meet()
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-        self.build_sets(ids if large is None else ids.union(large.select(F.col("rep").alias("id"))))
-        links, labels = self._settle(pairs)
+        self.build_sets(pairs, large)
+        links = materialise(self.confirmed(pairs), "near-links")
+        labels = components(links)
         if large is None:
             return labels
         forest = materialise(self.branch(large, labels), "near-forest")
         if forest.isEmpty():
             return labels
-        new = materialise(self.between_components(labels, forest), "near-links")
+        new = materialise(self.between_components(large, labels, forest), "near-links")
         return labels if new.isEmpty() else components(links.union(new))
 
     def rows(self) -> DataFrame:
