@@ -266,10 +266,16 @@ def _between(percent: int, agree: int, exact: bool):
 
 
 def _confirm(percent: int):
-    """The linked pairs of each cell: rows without `b` hold the set of `a`, and come before the rows of pairs."""
+    """A spanning forest of the linked pairs of each cell: rows without `b` hold the set of `a`, and come before the pairs."""
+
+    def top(parent: dict[int, int], x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sets = None, {}
+        now, sets, parent = None, {}, {}
         for batch in batches:
             cells, first, second, items = (batch.column(k) for k in ("cell", "a", "b", "items"))
             cells, first, paired = cells.to_numpy(), first.to_numpy(), second.is_valid().to_numpy(zero_copy_only=False)
@@ -280,16 +286,18 @@ def _confirm(percent: int):
                 if hi <= lo:
                     continue
                 if cells[lo] != now:
-                    now, sets = cells[lo], {}
+                    now, sets, parent = cells[lo], {}, {}
                 if not paired[lo]:
                     sets[first[lo]] = items[lo].values.to_numpy().view(np.uint64)  # sorted as such
                 elif first[lo] in sets:
-                    b = np.array([x for x in second[lo:hi].tolist() if x in sets], np.int64)
-                    if len(b):
-                        b = b[_linked(sets[first[lo]], [sets[x] for x in b.tolist()], percent)]
-                        found.append((np.full(len(b), first[lo]), b))
+                    x = int(first[lo])
+                    apart = [y for y in second[lo:hi].tolist() if y in sets and top(parent, y) != top(parent, x)]
+                    for y, ok in zip(apart, _linked(sets[x], [sets[y] for y in apart], percent).tolist(), strict=True):
+                        if ok and top(parent, x) != top(parent, y):
+                            parent[top(parent, y)] = top(parent, x)
+                            found.append((x, y))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*found, strict=True)], ["a", "b"])
 
     return run
 
