@@ -64,11 +64,13 @@ def decoded(chunk: Column) -> Column:
     return F.try_validate_utf8(chunk.cast("string"))
 
 
-#: Messages of failed runs.
-def error_text(case: Column, detail: Column) -> Column:
-    return (
-        F.when(case == "helper", "The bundled transcription helper script could not be found.")
-        .when(case == "interpreter", F.concat(F.lit("No compatible interpreter was found. Checked:\n"), detail))
-        .when(case == "exit", F.concat(F.lit("Transcription stopped with exit code "), detail, F.lit(".")))
+def error_rows(case: Column, detail: Column, trace: Column) -> Column:
+    """The rows of a failed run, an array of messages: what failed, by case, and the trace where there is one. The wording
+    is this library's own."""
+    message = (
+        F.when(case == "helper", "The helper of the run is missing.")
+        .when(case == "interpreter", F.concat(F.lit("No usable interpreter among: "), detail))
+        .when(case == "exit", F.concat(F.lit("The run ended with code "), detail))
         .otherwise(F.concat(F.lit("Error: "), detail))
     )
+    return F.array_compact(F.array(message, F.nullif(trace, F.lit(""))))

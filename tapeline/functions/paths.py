@@ -35,6 +35,15 @@ def folder(path: Column) -> Column:
     return F.when(~F.contains(path, F.lit("/")), ".").when(cut == "", "/").otherwise(cut)
 
 
+def absolute(path: Column, base: Column | str) -> Column:
+    """The path from the root: relative ones start at `base`; empty and `.` steps go, `..` takes a step back, the root is
+    its own parent. Links of the file system are not followed."""
+    whole = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit(base) if isinstance(base, str) else base, F.lit("/"), path))
+    steps = F.filter(F.split(whole, "/"), lambda x: ~x.isin("", "."))
+    walk = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, x))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(steps, F.array().cast("array<string>"), walk), "/"))
+
+
 def target(path: Column, output_folder: Column | None = None) -> Column:
     """Where the document of a media file goes: the given folder, or beside the file."""
     where = folder(path) if output_folder is None else F.coalesce(output_folder, folder(path))

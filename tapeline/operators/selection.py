@@ -19,9 +19,11 @@ def first_of_each(df: DataFrame, key: str, index: str) -> DataFrame:
 
 
 def additions(existing: DataFrame, chosen: DataFrame, key: str, index: str, within_batch: bool = True) -> DataFrame:
-    """Rows of `chosen` whose key isn't in `existing`; within a batch the first of a key, unless switched off."""
+    """Rows of `chosen` whose key isn't in `existing`; within a batch the first of a key, unless switched off. Existing keys
+    may be long: their SHA-256 meets those of the new ones."""
     new = first_of_each(chosen, key, index) if within_batch else chosen
-    return new.join(existing.select(key).distinct(), key, "left_anti")
+    digest = F.sha2(F.col(key), 256)
+    return new.withColumn("_digest", digest).join(existing.select(digest.alias("_digest")).distinct(), "_digest", "left_anti").drop("_digest")
 
 
 def append(existing: DataFrame, chosen: DataFrame, key: str, index: str) -> DataFrame:
@@ -30,6 +32,11 @@ def append(existing: DataFrame, chosen: DataFrame, key: str, index: str) -> Data
     return with_index(both, "_part", index).drop("_part")
 
 
+def identified(df: DataFrame, name: str = "id") -> DataFrame:
+    """`df` with a random UUID for each row; write it before it is used twice."""
+    return df.withColumn(name, F.uuid() if hasattr(F, "uuid") else F.expr("uuid()"))
+
+
 def cleared(existing: DataFrame) -> DataFrame:
     return existing.limit(0)
 
@@ -41,7 +48,10 @@ def count_text(df: DataFrame, *by: str) -> DataFrame:
 
 
 def progress(df: DataFrame, batch: Sequence[str], index: str) -> DataFrame:
-    """Position `i/n` in the row's batch, and whether another follows (a pause would)."""
+    """Position `i/n` in the row's batch, and whether another follows (a pause would). Over all rows if `batch` is empty."""
+    if not batch:
+        rows, n = with_index(df, index), F.lit(df.count())
+        return rows.withColumn("label", F.concat(F.col("file_index").cast("string"), F.lit("/"), n.cast("string"))).withColumn("waits", F.col("file_index") < n).drop("file_index")
     by = Window.partitionBy(*batch)
     i, n = F.row_number().over(by.orderBy(index)), F.count(F.lit(1)).over(by)
     return df.withColumn("label", F.concat(i.cast("string"), F.lit("/"), n.cast("string"))).withColumn("waits", i < n)

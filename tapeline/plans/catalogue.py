@@ -11,9 +11,12 @@ from tapeline.functions import loglines, paths
 from tapeline.functions.text import LINE_BREAKS, LOG_SPACE, STRIPPED, clamp, default_text, yaml_quote
 from tapeline.functions.timecode import frames, from_frames, timecode, to_frames
 from tapeline.operators import logs, selection, transcript
-from tapeline.operators.transcribe import transcribe
+from tapeline.operators.recognise import recognise
 from tapeline.plans.adapters import event_lines, line_sql, segments, table
 from tapeline.schemas import Settings
+from tapeline.sinks.markdown import write_markdown
+from tapeline.sources import media
+from tapeline.sources.results import parse_results
 from tapeline.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -289,10 +292,92 @@ def run_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def transcribe_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_index"), F.col("url").alias("path"))
-    rows = transcript.explode_results(transcribe(pages, Settings(language="en")).drop("error"))
+    rows = transcript.explode_results(recognise(pages, Settings(language="en")).drop("error", "device", "created"))
     return transcript.prepare(rows).select("file_index", "segment_index", "block")
 
 
+@query(
+    """WITH k AS (SELECT page_id, page_id % 5 AS k, 'd' || CAST(page_id AS VARCHAR) AS d FROM pages)
+SELECT page_id, CASE k WHEN 0 THEN '/base/' || d || '/a.mp3' WHEN 1 THEN '/' || d || '/b' WHEN 2 THEN '/base/c' WHEN 3 THEN '/' || d ELSE '/base/' || d END AS absolute FROM k"""
+)
+def paths_absolute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.concat(F.lit("d"), F.col("page_id").cast("string"))
+    spelled = [
+        F.concat(F.lit("./"), d, F.lit("//x/../a.mp3")), F.concat(F.lit("/"), d, F.lit("/./b/")), F.concat(d, F.lit("/../c")), F.concat(F.lit("../../../"), d), d,
+    ]
+    path = F.get(F.array(*spelled), (F.col("page_id") % 5).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", paths.absolute(path, "/base").alias("absolute"))
+
+
+@query(
+    """SELECT part, count(*) AS files, string_agg(name, chr(10) ORDER BY name) AS names FROM (
+  SELECT CASE p_partkey % 4 WHEN 0 THEN 'p' || p_partkey || '.MP3' WHEN 1 THEN 'p' || p_partkey || '.mov' WHEN 2 THEN 'p' || p_partkey || '.txt' ELSE 'p' || p_partkey END AS name,
+         p_partkey % 4 AS kind, p_partkey % 3 AS part FROM part) WHERE kind < 2 GROUP BY part"""
+)
+def media_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media files by extension, described, in order of their names."""
+    ending = F.get(F.array(F.lit(".MP3"), F.lit(".mov"), F.lit(".txt"), F.lit("")), (F.col("p_partkey") % 4).cast("int"))
+    path = F.concat(F.lit("/media/"), (F.col("p_partkey") % 3).cast("string"), F.lit("/p"), F.col("p_partkey").cast("string"), ending)
+    rows = media.described(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_index"), path.alias("path")).where(paths.is_media(F.col("path"))))
+    found = rows.groupBy(paths.name(F.col("folder")).cast("int").alias("part")).agg(F.count(F.lit(1)).alias("files"), transcript.joined("name", "name", r"\n").alias("names"))
+    return found.select("part", "files", "names")
+
+
+@query("SELECT conv_id AS file_index, CAST(turn - min(turn) OVER (PARTITION BY conv_id) AS INTEGER) AS segment_index, 0.0::DOUBLE AS start, coalesce(text, '') AS text FROM conversations")
+def results_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as results in JSON, read back with defaults for what is missing."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    as_json = F.to_json(F.struct(F.transform("t", lambda x: F.struct(x["text"].alias("text"))).alias("segments")))
+    rows = parse_results(turns.select(F.col("conv_id").alias("file_index"), as_json.alias("json")))
+    return transcript.explode_results(rows).select("file_index", "segment_index", "start", "text")
+
+
+@query(
+    """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'The helper of the run is missing.' WHEN 1 THEN 'No usable interpreter among: ' || event_type WHEN 2 THEN 'The run ended with code ' || event_type
+  ELSE 'Error: ' || event_type || chr(10) || 'at ' || CAST(user_id AS VARCHAR) END AS messages FROM events"""
+)
+def error_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    case = F.get(F.array(*map(F.lit, ("helper", "interpreter", "exit", "other"))), (F.col("event_id") % 4).cast("int"))
+    trace = F.when(F.col("event_id") % 4 == 3, F.concat(F.lit("at "), F.col("user_id").cast("string")))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(loglines.error_rows(case, F.col("event_type"), trace), "\n").alias("messages"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE text END AS message FROM documents")
+def chunks_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binary chunks as text; every third is spoiled and drops out as null."""
+    chunk = F.encode("text", "UTF-8")
+    spoiled = F.concat(chunk, F.unhex(F.lit("FF")))
+    return table(spark, sf_dir, "documents").select("doc_id", loglines.decoded(F.when(F.col("doc_id") % 3 == 0, spoiled).otherwise(chunk)).alias("message"))
+
+
+@query("SELECT count(*) AS n, 'No files selected' AS label FROM documents WHERE FALSE")
+def selection_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.count_text(selection.cleared(table(spark, sf_dir, "documents")))
+
+
+@query(_SEGMENTS + _DOCUMENT.replace("SELECT output_path, max(file_index) AS file_index, arg_max(content, file_index) AS content, count(*) - 1 AS overwritten FROM d GROUP BY output_path", "SELECT output_path, arg_max(content, file_index) AS content FROM d GROUP BY output_path"))
+def documents_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as Markdown files, one a row, read back whole."""
+    root = work_path(spark, "documents")
+    write_markdown(transcript_document(spark, sf_dir), root.removeprefix("file://"))
+    rows = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(root)
+    return rows.select(F.concat(F.lit("/out/"), paths.name(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))).alias("output_path"), F.col("value").alias("content"))
+
+
+@query(
+    f"""WITH e AS ({line_sql()}) SELECT trim(line, {_chars(LOG_SPACE)}) AS line, count(*) AS n FROM e WHERE trim(line, {_chars(LOG_SPACE)}) <> '' GROUP BY 1"""
+)
+def log_text_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event lines as text files, read as a stream of files to its end."""
+    from tapeline.streaming.logs import read_lines
+
+    source, out = work_path(spark, "text-lines"), work_path(spark, "text-log")
+    event_lines(spark, sf_dir).where("line is not null").select("line").write.text(source)
+    stream = logs.split_lines(read_lines(spark, source), "value").select("line")
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", work_path(spark, "text-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("line string").parquet(out).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(_LATEST)
 def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of files, run to its end; the latest progress over all micro-batches."""

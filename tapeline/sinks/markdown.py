@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,12 +23,17 @@ class _Writer(DataSourceWriter):
     def write(self, rows: Iterator) -> Written:
         n = 0
         for row in rows:
-            path = os.path.join(self.root, row.output_path.lstrip("/")) if self.root else row.output_path
+            path = row.output_path
+            if self.root:
+                path = os.path.normpath(os.path.join(self.root, path.lstrip("/")))
+                if os.path.commonpath([os.path.normpath(self.root), path]) != os.path.normpath(self.root):
+                    raise ValueError(f"{row.output_path} is outside {self.root}")
             os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-            # Written aside and renamed: a task that is run again replaces the whole file.
-            with open(f"{path}.part", "w", encoding="utf-8", newline="\n") as f:
+            # Written aside under a name of its own and renamed: attempts of one task never mix, the last one stays.
+            aside = f"{path}.{uuid.uuid4().hex}.part"
+            with open(aside, "w", encoding="utf-8", newline="\n") as f:
                 f.write(row.content)
-            os.replace(f"{path}.part", path)
+            os.replace(aside, path)
             n += 1
         return Written(n)
 

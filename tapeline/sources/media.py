@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +18,10 @@ def described(df: DataFrame) -> DataFrame:
     return df.select("file_index", "path", paths.name(F.col("path")).alias("name"), paths.folder(F.col("path")).alias("folder"))
 
 
-def from_paths(spark: SparkSession, files: Sequence[str]) -> DataFrame:
-    """A list given in order, as command-line options are."""
+def from_paths(spark: SparkSession, files: Sequence[str], base: str | None = None) -> DataFrame:
+    """A list given in order, as command-line options are; paths are made absolute from `base` (the working folder)."""
     rows = spark.createDataFrame([(i, p) for i, p in enumerate(files, 1)], "file_index long, path string")
+    rows = rows.withColumn("path", paths.absolute(F.col("path"), base or os.getcwd()))
     return described(rows).to(spark.createDataFrame([], MEDIA_FILE).schema)
 
 

@@ -28,9 +28,11 @@ def write_both(stream: DataFrame, log_path: str, progress_path: str, checkpoint:
     def both(batch: DataFrame, batch_id: int) -> None:
         # A batch that is run again after a failure overwrites what it wrote before.
         batch.persist()
-        logs.log_rows(batch).write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
-        logs.latest(batch.where("route = 'progress'"), key, seq).write.mode("overwrite").parquet(f"{progress_path}/batch={batch_id}")
-        batch.unpersist()
+        try:
+            logs.log_rows(batch).write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
+            logs.latest(batch.where("route = 'progress'"), key, seq).write.mode("overwrite").parquet(f"{progress_path}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=POLL)).start()

@@ -116,7 +116,8 @@ def test_decoding(spark):
     assert level == ["info", "x"] and message == ["a|b", None]
     assert evaluate(spark, loglines.decoded, [b"a\xc3\xa9", b"\xc3"], "binary") == ["aé", None]
     assert evaluate(spark, loglines.prefix, ["info", "success", "error", "?"]) == ["INFO", "OK", "ERROR", "INFO"]
-    assert evaluate(spark, lambda x: loglines.error_text(x, F.lit("2")), ["exit", "other"]) == ["Transcription stopped with exit code 2.", "Error: 2"]
+    assert evaluate(spark, lambda x: loglines.error_rows(x, F.lit("2"), F.lit("")), ["exit", "other"]) == [["The run ended with code 2"], ["Error: 2"]]
+    assert evaluate(spark, lambda x: loglines.error_rows(x, F.lit("2"), F.lit("trace")), ["other"]) == [["Error: 2", "trace"]]
 
 
 def test_settings():

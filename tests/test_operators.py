@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from tapeline.operators import logs, selection, transcript
 from tapeline.operators.ordering import with_index
-from tapeline.operators.transcribe import Stub, transcribe
-from tapeline.schemas import Settings
+from tapeline.operators.recognise import Stub, first_device, observed, recognise
+from tapeline.schemas import Settings, first_set
 from tapeline.sinks.markdown import discard, write_markdown
 from tapeline.sources import media
 from tapeline.sources.results import parse_results
@@ -71,7 +71,7 @@ def test_first_candidate(spark):
     assert got == {"g": ("b", "a"), "h": (None, "d")}
 
 
-def test_transcribe(spark):
+def test_recognise(spark):
     class Failing(Stub):
         def __call__(self, path, language):
             if "bad" in path:
@@ -79,11 +79,54 @@ def test_transcribe(spark):
             return Stub.__call__(self, path, language)
 
     files = media.from_paths(spark, ["/d/a.mp3", "/d/bad.mp3"])
-    got = {r.name: r for r in transcribe(files, Settings(language="en"), Failing).collect()}
-    assert got["bad.mp3"].result is None and "unreadable" in got["bad.mp3"].error
+    run = lambda: recognise(files, Settings(language="en"), lambda device: Failing())
+    got = {r.name: r for r in run().collect()}
+    assert got["bad.mp3"].result is None and got["bad.mp3"].error.startswith("OSError: unreadable\nTraceback")
     assert got["a.mp3"].error is None and got["a.mp3"].result.segments[0].text == " en segment 0 of /d/a.mp3 "
-    again = transcribe(files, Settings(language="en"), Failing).where("error is null").first()
-    assert again.result == got["a.mp3"].result
+    assert got["a.mp3"].device == "cpu" and got["a.mp3"].created is not None
+    assert run().where("error is null").first().result == got["a.mp3"].result
+    rows, seen = observed(run())
+    rows.collect()
+    assert seen.get["files"] == 2 and seen.get["failed"] == 1
+
+
+def test_devices(spark):
+    def load(device):
+        if device != "cpu":
+            raise NotImplementedError(device)
+        return Stub()
+
+    assert first_device(load, ["gpu", "cpu"])[1] == "cpu"
+    with pytest.raises(NotImplementedError):
+        first_device(load, ["gpu"])
+    files = media.from_paths(spark, ["/d/a.mp3"])
+    assert recognise(files, Settings(), load, ["gpu", "cpu"]).first().device == "cpu"
+    assert "NotImplementedError" in recognise(files, Settings(), load, ["gpu"]).first().error
+
+
+def test_preconditions():
+    Settings(output_folder="/o").check(1, folder_needed=True)
+    for bad in ({"files": 0}, {"files": 1, "folder_needed": True}, {"files": 1, "running": True}):
+        with pytest.raises(ValueError):
+            Settings().check(**bad)
+    assert first_set(None, "", "b", "c") == "b" and first_set(None) is None
+
+
+def test_paths_become_absolute(spark):
+    got = media.from_paths(spark, ["a.mp3", "/x/../b.mp3", "./c//d.mp3"], base="/w").orderBy("file_index").collect()
+    assert [r.path for r in got] == ["/w/a.mp3", "/b.mp3", "/w/c/d.mp3"]
+
+
+def test_progress_over_all_rows_and_ids(spark):
+    rows = spark.createDataFrame([(3,), (1,), (2,)], "i long")
+    got = selection.progress(rows, [], "i").orderBy("i").collect()
+    assert [(r.label, r.waits) for r in got] == [("1/3", True), ("2/3", True), ("3/3", False)]
+    assert len({r.id for r in selection.identified(rows).collect()}) == 3
+
+
+def test_documents_stay_below_their_folder(spark, tmp_path):
+    with pytest.raises(Exception, match="outside"):
+        write_markdown(spark.createDataFrame([("../../x.md", "x")], "output_path string, content string"), str(tmp_path / "root"))
 
 
 def test_media_list(spark, tmp_path):
