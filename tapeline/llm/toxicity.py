@@ -11,8 +11,8 @@ A document's evidence is the difference of its two log-likelihoods per word, les
 the bias of its language or topic), and the part of it that lies well above the median; a logistic curve turns these
 length-normalised figures into a score.
 
-Counts cover every training row: labelled, and crc32 of the doc_id as text modulo 5 is 2, 3 or 4. Rows with 1 only fit the
-curve (those of least hash, at most `curve_rows`), and rows with 0 are held out. Words are counted exactly in Spark, then summed into
+Counts cover every training row: labelled, and crc32 of the doc_id as text modulo 5 is not 0 (held out); but for those that fit
+the curve, at most `curve_rows` rows of remainder 1, of least hash. Words are counted exactly in Spark, then summed into
 tables of a fixed size by a hash of the word (2**20), stem and rest (2**17 each), which is all that the driver
 gets and the executors receive; colliding words share a count. Labels, lang, source and doc_id never enter a score.
 
@@ -157,10 +157,12 @@ def fit(docs: DataFrame, labels: DataFrame, curve_rows: int = CURVE_ROWS) -> Mod
     """Learn from the rows of `docs` (doc_id, text) that `labels` (doc_id, toxic) marks and that aren't held out."""
     spark = docs.sparkSession
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    some = materialise(marks.where(fold(5) == 1).orderBy(F.xxhash64("doc_id")).limit(curve_rows), "toxic-curve")
+    counted = marks.where(fold(5) != 0).join(F.broadcast(some.select("doc_id")), "doc_id", "left_anti")
     # Merged at every size: labels grow as documents do, so a plan that broadcasts them would not last.
-    marked = lambda which: docs.where(which).join(marks.where(which).hint("merge"), "doc_id")
+    marked = docs.where(fold(5) != 0).join(counted.hint("merge"), "doc_id")
     words = materialise(
-        marked(fold(5) > 1).select("toxic", "text").mapInArrow(_count_words, "word long, stem int, rest int, bad long, good long")
+        marked.select("toxic", "text").mapInArrow(_count_words, "word long, stem int, rest int, bad long, good long")
         .groupBy("word", "stem", "rest").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")),
         "toxic-words",
     )
@@ -185,7 +187,6 @@ def fit(docs: DataFrame, labels: DataFrame, curve_rows: int = CURVE_ROWS) -> Mod
     (follows,) = table(F.col("rest"), 1 << PART_BITS, F.count(F.lit(1)))
     model = Model(np.stack(by_word), np.stack(by_stem[:2]), np.stack(by_stem[2:4]), by_stem[4], follows, discount)
     shared = spark.sparkContext.broadcast(model)
-    some = marks.where(fold(5) == 1).orderBy(F.xxhash64("doc_id")).limit(curve_rows)
     columns = "toxic int, " + ", ".join(f"{c} double" for c in FEATURES)
     sample = docs.where(fold(5) == 1).join(some, "doc_id").select("toxic", "text").mapInArrow(_features(shared), columns).toPandas()
     if sample["toxic"].nunique() < 2:
