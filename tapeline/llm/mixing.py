@@ -182,7 +182,7 @@ class Mix:
             .select("source_no", F.col("e.block").alias("edge_block"), (F.col("e.rest") - (F.col("e.upto") - F.col("e.words"))).alias("room")),
             "mix-edge",
         )
-        in_edge = self.placed.join(self.edge, "source_no").where("block = edge_block")
+        in_edge = self.placed.where("size > 0").join(self.edge, "source_no").where("block = edge_block")
         filled = in_edge.groupBy("source_no").agg(
             F.sort_array(F.collect_list(F.struct("size", "doc_id")), asc=False).alias("xs"), F.first("room").alias("room")
         )
