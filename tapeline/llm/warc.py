@@ -7,7 +7,8 @@ payload that refer to it. Smaller payloads are all responses.
 
 Records are UTF-8 text, so Spark's text writer makes the files, in any store: a row is a record, and the line separator is
 the two line ends that close a record. Reading takes files whole (`binaryFile`; a file is one write partition, about the
-advisory partition size) and walks the records by Content-Length, so payloads may hold anything. Assembly joins requests,
+advisory partition size), unpacks them as a stream, and walks the records by Content-Length, so payloads may hold anything: a
+task holds a compressed file, one record and about 8 MB of output. Assembly joins requests,
 responses and metadata on the response's record id and emits one nested row per capture; a revisit's payload figures come
 from the response that it refers to. Nothing is grouped by payload but the digests, with partial aggregates; the join back
 to a payload that a third of all captures share is split by adaptive execution.
@@ -21,20 +22,24 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeline.llm.exact_dedup import located
-from tapeline.session import work_path
+from tapeline.session import materialise, work_path
 
 #: Fixed values of the WARC 1.1 and HTTP formats.
 END, PROFILE = "\r\n", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 GZIP = b"\x1f\x8b"
 DATE = "1970-01-01T00:00:00Z"
+#: Records of one archive file at most: a reader holds one compressed file.
+FILE_RECORDS = 60_000
 
 
 def base32_sha1(data: Column) -> Column:
@@ -99,24 +104,30 @@ def records(pages: DataFrame, revisit_bytes: int = 0, date: str = DATE) -> DataF
     return joined.select(F.explode(F.array(request, response, metadata)).alias("value"))
 
 
-def write(pages: DataFrame, path: str, **options) -> None:
-    """Write archives below `path`, each compressed as a whole (fast, at about a third of the size)."""
-    records(pages, **options).write.option("lineSep", END + END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
+def write(pages: DataFrame, path: str, file_records: int = FILE_RECORDS, **options) -> None:
+    """Write archives of at most `file_records` records below `path`, each compressed as a whole (fast, at about a third of
+    the size)."""
+    records(pages, **options).write.option("maxRecordsPerFile", file_records).option("lineSep", END + END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
-def parse(data: memoryview) -> Iterator[tuple[dict[str, str], memoryview]]:
-    """Headers (names in lower case) and block of each record of an archive."""
-    at = 0
-    whole = data.obj if isinstance(data.obj, bytes) else bytes(data)
-    while at < len(whole):
-        end = whole.index(b"\r\n\r\n", at)
-        lines = whole[at:end].decode("utf-8").split(END)
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-        size = int(headers["content-length"])
-        yield headers, memoryview(whole)[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+def parse(archive: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each record of an archive, read one record at a time."""
+    while line := archive.readline():
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record, but {line[:40]!r}")
+        headers = {}
+        while (line := archive.readline()) not in (b"\r\n", b""):
+            name, _, value = line.decode("utf-8").removesuffix(END).partition(": ")
+            headers[name.lower()] = value
+        block = archive.read(int(headers["content-length"]))
+        archive.read(4)
+        yield headers, block
+
+
+def _open(data: bytes) -> BinaryIO:
+    """The archive in `data`; one gzip stream or one per record."""
+    raw = io.BytesIO(data)
+    return io.BufferedReader(gzip.GzipFile(fileobj=raw)) if data[:2] == GZIP else raw
 
 
 RECORD = "kind string, record_id string, concurrent_to string, refers_to string, url string, block binary, fields map<string,string>, payload_bytes long, payload_digest string"
@@ -130,16 +141,15 @@ def _records(with_blocks: bool):
         for batch in batches:
             for content in batch.column("content"):
                 held, size = [], 0
-                data = content.as_py()
-                for headers, block in parse(memoryview(gzip.decompress(data) if data[:2] == GZIP else data)):
+                for headers, block in parse(_open(content.as_py())):
                     kind, payload, fields = headers["warc-type"], None, None
                     if kind == "response":
-                        payload = bytes(block).partition(b"\r\n\r\n")[2]
+                        payload = block.partition(b"\r\n\r\n")[2]
                     elif kind == "metadata":
-                        fields = [tuple(x.split(": ", 1)) for x in bytes(block).decode("utf-8").split(END) if ": " in x]
+                        fields = [tuple(x.split(": ", 1)) for x in block.decode("utf-8").split(END) if ": " in x]
                     held.append((
                         kind, headers["warc-record-id"], headers.get("warc-concurrent-to"), headers.get("warc-refers-to"), headers.get("warc-target-uri"),
-                        bytes(block) if with_blocks else None, fields, None if payload is None else len(payload),
+                        block if with_blocks else None, fields, None if payload is None else len(payload),
                         None if payload is None else base64.b32encode(hashlib.sha1(payload).digest()).decode(),
                     ))
                     size += len(block) if with_blocks else 200
@@ -176,7 +186,8 @@ def round_trip(pages: DataFrame, revisit_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     path = work_path(spark, "warc")
     write(pages, path, revisit_bytes=revisit_bytes)
-    captures = assemble(read(spark, path, with_blocks=False))
+    # Without blocks a record is a few short strings: they are written, so that the three uses don't read the archives again.
+    captures = assemble(materialise(read(spark, path, with_blocks=False), "warc-records"))
     number = lambda fields: F.col(fields)["page-id"].cast("long")
     return captures.select(
         number("metadata.fields").alias("page_id"),
