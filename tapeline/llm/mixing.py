@@ -3,7 +3,8 @@
 1. Sizes. A document's size is its number of words (null text: 0). Sources get weights in turn, by code point, null
    last; the mix is `share` times all words. A target above `most` times its source's size is cut to that, and the
    excess is shared out again by weight, until none is above.
-2. Blocks. A source is cut into blocks of about `block_words` words: a document's block is a hash of its doc_id, so block
+2. Blocks. A source is cut into blocks of about `block_words` words: a document's block is a hash of its doc_id and text (its
+   key; so rows without a doc_id, or with one that many share, are spread as others are), and block
    numbers are in random order already and any run of them is a permuted draw without replacement. A source's quota of
    draws is: all its blocks once per full pass, then the leading blocks that still fit its target, then a part of the
    next block: its documents from the largest down, each taken where it fits (the one that is left over last is taken
@@ -18,7 +19,8 @@ Everything is a hash of the seed and of keys, so reruns agree. Only tables with
 of any size. Wide texts are not moved until rows are written.
 
 Empty table: no rows. Null or empty texts have size 0 and are never taken by the query; rows that share source, doc_id
-and size fall in the same block and are taken alike.
+and text have one key, fall in the same block, are weighed together where it is taken in part, and are taken alike. What is
+collected there is at most one block's keys with words, whatever the number of rows.
 """
 
 from __future__ import annotations
@@ -134,13 +136,19 @@ def split_tree(quotas: DataFrame, depth: int, seed: int = SEED) -> DataFrame:
     return nodes.select("shard", F.explode("q").alias("x")).select("shard", "x.source_no", F.col("x.quota").cast("long").alias("quota"))
 
 
+def _key(text: Column) -> Column:
+    """The key of a row (doc_id, text): what its draws go by."""
+    return F.xxhash64("doc_id", text)
+
+
 class Mix:
     """The mix of `docs`: `placed` documents with their blocks, `draws` of the shards, and the `copies` that these draw."""
 
     def __init__(self, docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED):
         self.docs, self.seed, self.shard_words = docs, seed, shard_words
         sized = materialise(
-            docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "mix-sizes"
+            docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.col("text").cast("string").alias("text"))
+            .select("doc_id", "source", "size", _key(F.col("text")).alias("key")), "mix-sizes"
         )
         by_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
         numbered = by_source.withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
@@ -156,9 +164,9 @@ class Mix:
         self._last_pass()
 
     def _place(self, rows: DataFrame) -> DataFrame:
-        """`rows` (doc_id, source, size and others) with the block of each and the figures of its source."""
+        """`rows` (key, source, size and others) with the block of each and the figures of its source."""
         figures = self.sources.select(F.col("source").alias("s"), "source_no", "blocks", "source_size", "target", "passes", (F.col("rest") > 0).alias("open"))
-        placed = rows.join(figures, rows.source.eqNullSafe(F.col("s"))).withColumn("block", F.pmod(F.xxhash64(F.lit(self.seed), "doc_id"), F.col("blocks")))
+        placed = rows.join(figures, rows.source.eqNullSafe(F.col("s"))).withColumn("block", F.pmod(F.xxhash64(F.lit(self.seed), "key"), F.col("blocks")))
         return placed.drop("s", "blocks")
 
     def _last_pass(self) -> None:
@@ -183,39 +191,40 @@ class Mix:
             "mix-edge",
         )
         in_edge = self.placed.where("size > 0").join(self.edge, "source_no").where("block = edge_block")
-        filled = in_edge.groupBy("source_no").agg(
-            F.sort_array(F.collect_list(F.struct("size", "doc_id")), asc=False).alias("xs"), F.first("room").alias("room")
+        keys = in_edge.groupBy("source_no", "key").agg(F.sum("size").alias("size"), F.first("room").alias("room"))
+        filled = keys.groupBy("source_no").agg(
+            F.sort_array(F.collect_list(F.struct("size", "key")), asc=False).alias("xs"), F.first("room").alias("room")
         )
-        start = F.struct(F.col("room").alias("room"), F.array().cast("array<bigint>").alias("ids"), F.lit(None).cast("struct<size:bigint,doc_id:bigint>").alias("small"))
+        start = F.struct(F.col("room").alias("room"), F.array().cast("array<bigint>").alias("keys"), F.lit(None).cast("struct<size:bigint,key:bigint>").alias("small"))
 
         def fit(acc: Column, x: Column) -> Column:
-            fits = (x["size"] <= acc["room"]) & (x["size"] > 0)
+            fits = x["size"] <= acc["room"]
             return F.struct(
                 F.when(fits, acc["room"] - x["size"]).otherwise(acc["room"]).alias("room"),
-                F.when(fits, F.concat(acc["ids"], F.array(x["doc_id"]))).otherwise(acc["ids"]).alias("ids"),
-                F.when(~fits & (x["size"] > 0), x).otherwise(acc["small"]).alias("small"),
+                F.when(fits, F.concat(acc["keys"], F.array(x["key"]))).otherwise(acc["keys"]).alias("keys"),
+                F.when(~fits, x).otherwise(acc["small"]).alias("small"),
             )
 
         def close(acc: Column) -> Column:
             nearer = acc["small"].isNotNull() & (acc["small"]["size"] < 2 * acc["room"])
-            return F.when(nearer, F.concat(acc["ids"], F.array(acc["small"]["doc_id"]))).otherwise(acc["ids"])
+            return F.when(nearer, F.concat(acc["keys"], F.array(acc["small"]["key"]))).otherwise(acc["keys"])
 
         self.parts = materialise(
-            filled.select("source_no", F.explode(F.aggregate("xs", start, fit, close)).alias("doc_id")).distinct(), "mix-parts"
+            filled.select("source_no", F.explode(F.aggregate("xs", start, fit, close)).alias("key")), "mix-parts"
         )
 
     def taken(self, placed: DataFrame | None = None) -> DataFrame:
         """Placed rows with `takes`: how often the mix takes each."""
         edge = self.edge.select(F.col("source_no").alias("e_no"), "edge_block")
-        part = self.parts.select(F.col("source_no").alias("p_no"), F.col("doc_id").alias("p_id"))
+        part = self.parts.select(F.col("source_no").alias("p_no"), F.col("key").alias("p_key"))
         placed = self.placed if placed is None else placed
         joined = placed.join(edge, F.col("source_no") == F.col("e_no"), "left").join(
-            part, (F.col("source_no") == F.col("p_no")) & F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("block") == F.col("edge_block")), "left"
+            part, (F.col("source_no") == F.col("p_no")) & (F.col("key") == F.col("p_key")) & (F.col("block") == F.col("edge_block")), "left"
         )
         whole = F.col("edge_block").isNull() | (F.col("block") < F.col("edge_block"))
         once = F.col("open") & (whole | F.col("p_no").isNotNull())
         takes = F.when(F.col("size") > 0, F.col("passes") + once.cast("long")).otherwise(0)
-        return joined.withColumn("takes", takes).drop("e_no", "edge_block", "p_no", "p_id")
+        return joined.withColumn("takes", takes).drop("e_no", "edge_block", "p_no", "p_key")
 
     def draws(self) -> DataFrame:
         """The tree's outcome: (source_no, shard, lo, hi), the run [lo, hi) of a source's draws that a shard gets. Draw i is
@@ -243,16 +252,16 @@ class Mix:
         pieces = materialise(pieces, "mix-draws")
         each = self.taken(placed).where("takes > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("takes") - 1)))
         drawn = each.join(pieces, (F.col("source_no") == F.col("d_no")) & (F.col("block") == F.col("d_block")) & (F.col("pass") == F.col("d_pass")))
-        return drawn.drop("d_no", "d_block", "d_pass").withColumn("order_in_shard", F.xxhash64(F.lit(self.seed), "shard", "doc_id", "pass"))
+        return drawn.drop("d_no", "d_block", "d_pass").withColumn("order_in_shard", F.xxhash64(F.lit(self.seed), "shard", "key", "pass"))
 
 
 def mix_summary(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken per document, from the copies that the shards drew."""
     made = Mix(docs, **options)
-    # Rows that share source and doc_id share their draws: one number for all of them.
-    counts = made.copies().groupBy("source_no", "doc_id").agg(F.countDistinct("pass").alias("n"))
-    counts = counts.select(F.col("source_no").alias("c_no"), F.col("doc_id").alias("c_id"), "n")
-    joined = made.placed.join(counts, (F.col("source_no") == F.col("c_no")) & F.col("doc_id").eqNullSafe(F.col("c_id")), "left")
+    # Rows that share source and key share their draws: one number for all of them.
+    counts = made.copies().groupBy("source_no", "key").agg(F.countDistinct("pass").alias("n"))
+    counts = counts.select(F.col("source_no").alias("c_no"), F.col("key").alias("c_key"), "n")
+    joined = made.placed.join(counts, (F.col("source_no") == F.col("c_no")) & (F.col("key") == F.col("c_key")), "left")
     return joined.select("doc_id", "size", "source_size", "target", (F.coalesce("n", F.lit(0)) * F.col("size")).alias("taken"))
 
 
@@ -262,8 +271,7 @@ def mix(docs: DataFrame, slices: int = 4, **options) -> DataFrame:
     Draws are joined to the rows by block, so texts are moved once, to their shard (dealt in `slices` of its order)."""
     made = Mix(docs, **options)
     rows = docs.select(
-        F.struct(*every(docs)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.coalesce(F.col("text").rlike(WORD), F.lit(False)).cast("long").alias("size"),
-    )
+        F.struct(*every(docs)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"),
+    ).select("row", "source", F.coalesce(F.col("text").rlike(WORD), F.lit(False)).cast("long").alias("size"), _key(F.col("text")).alias("key"))
     copies = made.copies(made._place(rows)).select("row", "shard", "order_in_shard", F.pmod("order_in_shard", F.lit(slices)).alias("slice"))
     return copies.repartition("shard", "slice").sortWithinPartitions("shard", "slice", "order_in_shard").select("row.*")

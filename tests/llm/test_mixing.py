@@ -79,3 +79,29 @@ def test_awkward_rows(awkward):
 
 def test_empty(empty):
     assert x.mix_summary(empty).count() == 0 == x.mix(empty).count()
+
+
+def test_rows_that_share_their_doc_id_are_spread(spark):
+    # 30,000 rows without words, 3,000 different texts without a doc_id, 500 equal rows.
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "' ' AS text", "'a' AS source").unionAll(
+        spark.range(3_000).selectExpr("CAST(NULL AS BIGINT)", "concat(repeat('w ', 19), id)", "'a'")
+    ).unionAll(spark.range(500).selectExpr("7", "repeat('v ', 10)", "'b'"))
+    made = x.Mix(docs, block_words=2_000)
+    placed = made.placed.where("source = 'a' AND size > 0").groupBy("block").count().collect()
+    assert len(placed) == 30 and max(r["count"] for r in placed) < 250
+    assert made.parts.count() <= 200
+    got = {r.source_size: (r.taken, r.target, r.n) for r in x.mix_summary(docs, block_words=2_000).groupBy("source_size").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.count("*").alias("n")).collect()}
+    taken, target, n = got[60_000]
+    assert n == 33_000 and abs(taken - target) <= 20
+    assert got[5_000][0] in (5_000, 10_000) and got[5_000][2] == 500  # equal rows are taken alike
+    assert x.mix(docs, block_words=2_000).count() == sum(r.taken // r.size for r in x.mix_summary(docs, block_words=2_000).where("size > 0").collect())
+
+
+def test_rows_with_one_doc_id_and_different_sizes_are_judged_apart(spark):
+    docs = spark.createDataFrame([(1, "x " * k, s) for s in ("a", "b") for k in (3, 30, 300)], "doc_id long, text string, source string")
+    rows = x.mix_summary(docs).collect()
+    assert len(rows) == 6 and len({(r.source_size, r.size) for r in rows}) == 3
+    for r in rows:
+        assert r.taken % r.size == 0 and r.taken <= 2 * r.size
+    total = sum(r.taken for r in rows)
+    assert abs(total - 1.5 * 666) < 40
