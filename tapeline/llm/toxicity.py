@@ -3,9 +3,8 @@
 A word (letters and digits, A-Z folded) is a stem, its first four bytes, and a rest. Each class, toxic and ordinary, has a
 Kneser-Ney bigram model P(stem) P(rest | stem): counts are discounted, and what the discount frees goes to a lower order
 that both classes share: for rests the number of distinct stems they follow, for stems the number of distinct rests
-that follow them. So a rare expression is judged by its stem's class counts, and an unseen one by nearly nothing. The
-classes share nearly all words, so the discount is what chance deals to either: DISCOUNT counts in the toxic class, and as
-many times more in the ordinary one as that has more words.
+that follow them. So a rare expression is judged by its stem's class counts, and an unseen one by nearly nothing. Each
+class's discount comes from its own counts of counts, n1 / (n1 + 2 n2), where n1 and n2 words occur once and twice.
 
 A document's evidence is the difference of its two log-likelihoods per word, less the median word's difference (which is
 the bias of its language or topic), and the part of it that lies well above the median; a logistic curve turns these
@@ -34,7 +33,7 @@ from tapeline.llm import texts
 from tapeline.session import materialise
 
 WORD_BITS, PART_BITS, STEM, CURVE_ROWS = 20, 17, 4, 20_000
-DISCOUNT, CLEAR = 4.0, 2.0
+CLEAR = 2.0
 
 _GAP = np.ones(256, bool)
 _GAP[48:58] = _GAP[65:91] = _GAP[97:123] = _GAP[128:] = False
@@ -149,6 +148,11 @@ def _features(model):
     return run
 
 
+def _discount(once: int, twice: int) -> float:
+    """Kneser-Ney discount from the numbers of words that occur once and twice; half where there are none."""
+    return once / (once + 2 * twice) if once + twice else 0.5
+
+
 def fold(modulus: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
@@ -166,10 +170,13 @@ def fit(docs: DataFrame, labels: DataFrame, curve_rows: int = CURVE_ROWS) -> Mod
         .groupBy("word", "stem", "rest").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")),
         "toxic-words",
     )
-    seen = words.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
+    seen = words.agg(
+        F.sum("good").alias("good"), F.sum("bad").alias("bad"),
+        *(F.count_if(F.col(c) == n).alias(f"{c}{n}") for c in ("good", "bad") for n in (1, 2)),
+    ).first()
     if not seen["good"] or not seen["bad"]:
         return None
-    discount = (DISCOUNT * seen["good"] / seen["bad"], DISCOUNT)
+    discount = tuple(_discount(seen[f"{c}1"], seen[f"{c}2"]) for c in ("good", "bad"))
 
     def table(key: Column, size: int, *sums: Column) -> list[np.ndarray]:
         got = words.groupBy(key.alias("k")).agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).toPandas()

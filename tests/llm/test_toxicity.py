@@ -1,7 +1,12 @@
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
+from tapeline.llm import texts
 from tapeline.llm import toxicity as x
 
 
@@ -50,3 +55,49 @@ def test_labels_of_held_out_rows_are_not_read(spark):
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     spoiled = labels.selectExpr("doc_id", "if(crc32(cast(cast(doc_id as string) as binary)) % 5 = 0, 1 - toxic, toxic) AS toxic")
     assert sorted(map(tuple, x.score_toxicity(docs, labels).collect())) == sorted(map(tuple, x.score_toxicity(docs, spoiled).collect()))
+
+
+def plain_gap(rows):
+    """log P(word | toxic) - log P(word | ordinary) for all words of `rows` (text, toxic), from Python's dictionaries."""
+    counts = [Counter(), Counter()]
+    for text, toxic in rows:
+        counts[toxic].update(re.findall(rb"[0-9a-z\x80-\xff]+", text.encode().lower()))
+    vocabulary, size = set(counts[0]) | set(counts[1]), 1 << x.PART_BITS
+    kinds = {w: (w[:4], w[4:]) for w in vocabulary}
+    after, before = Counter(s for s, _ in kinds.values()), Counter(r for _, r in kinds.values())
+    probability = []
+    for c in counts:
+        once, twice = (sum(v == n for v in c.values()) for n in (1, 2))
+        d = once / (once + 2 * twice) if once + twice else 0.5
+        stems, freed = Counter(), Counter()
+        for w, n in c.items():
+            stems[kinds[w][0]] += n
+            freed[kinds[w][0]] += min(n, d)
+        total, spare = sum(stems.values()), sum(min(n, d) for n in stems.values())
+
+        def of(w, c=c, d=d, stems=stems, freed=freed, total=total, spare=spare):
+            s, r = kinds[w]
+            stem = (max(stems[s] - d, 0) + (spare + 0.5) * (after[s] + 0.5) / (len(vocabulary) + 0.5 * size)) / (total + 0.5)
+            rest = max(c[w] - d, 0) + (freed[s] + 0.5) * (before[r] + 0.5) / (len(vocabulary) + 0.5 * size)
+            return math.log(stem) + math.log(rest / (stems[s] + 0.5))
+
+        probability.append(of)
+    return {w: probability[1](w) - probability[0](w) for w in vocabulary}
+
+
+def test_models_equal_plain_ones(spark):
+    rng = np.random.default_rng(5)
+    words = [a + b for a in ("mall", "Sten", "vörd", "ki", "orra") for b in ("", "a", "ende", "ingar", "x9", "ster")]
+    rows = []
+    for i in range(300):
+        toxic = int(rng.random() < 0.4)
+        at = np.minimum(rng.geometric(0.12 if toxic else 0.2, 6) - 1, len(words) - 1)
+        rows.append((i, ", ".join([words[k if toxic else -1 - k] for k in at] + ([f"solo{i}"] if i % 3 else [f"pair{i // 6}"])), toxic))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = x.fit(docs, labels)  # fits the curve on all rows of remainder 1
+    want = plain_gap([(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5 > 1])
+    assert len(want) > 100
+    chunk = next(iter(texts.chunks(pa.array([" ".join(w.decode() for w in want)]))))
+    stem, rest, word, _ = x._parts(chunk)
+    assert np.allclose(model.gaps(stem, rest, word), list(want.values()), atol=1e-3)
