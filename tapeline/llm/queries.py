@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeline.llm import exact_dedup, html_extraction, langid, mixing, near_dedup, packing, pii, quality, toxicity, warc
+from tapeline.llm import exact_dedup, html_extraction, importance, langid, mixing, near_dedup, packing, pii, quality, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -82,5 +86,31 @@ FROM p JOIN l USING (body)
 """
 
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+#: CRC-32 of each distinct run, byte by byte over a table that follows from the polynomial.
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT {_WORDS} AS w FROM benchmark),
+f AS (SELECT doc_id, len(w) AS n_words, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS runs FROM d),
+g AS (SELECT list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS runs FROM b),
+u AS (SELECT doc_id, unnest(runs) AS run FROM f), v AS (SELECT unnest(runs) AS run FROM g),
+tab AS (SELECT list(c ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, k: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+k AS (SELECT run, list_transform(range(octet_length(encode(run))), lambda j: CAST('0x' || substr(hex(encode(run)), 2 * j + 1, 2) AS BIGINT)) AS bytes
+  FROM (SELECT DISTINCT run FROM u UNION SELECT DISTINCT run FROM v)),
+h AS (SELECT run, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, t[CAST((xor(c, x) & 255) + 1 AS BIGINT)])), 4294967295) % 10000 AS bucket FROM k, tab),
+s AS (SELECT bucket, count(*) AS s FROM u JOIN h USING (run) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM v JOIN h USING (run) GROUP BY bucket),
+n AS (SELECT (SELECT count(*) FROM u)::DOUBLE AS s_all, (SELECT count(*) FROM v)::DOUBLE AS t_all),
+gain AS (SELECT r.bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (s_all + 10000) / ((coalesce(s, 0) + 1.0::DOUBLE) * (t_all + 10000)))) AS BIGINT) AS gain
+  FROM range(10000) r(bucket) LEFT JOIN s ON s.bucket = r.bucket LEFT JOIN t ON t.bucket = r.bucket, n),
+w AS (SELECT u.doc_id, count(*) AS n_features, CAST(floor(sum(gain)::DOUBLE / count(*)) AS BIGINT) AS weight FROM u JOIN h USING (run) JOIN gain USING (bucket) GROUP BY u.doc_id),
+x AS (SELECT f.doc_id, n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  CAST('0x' || substr(sha256('7:' || CAST(f.doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS noise FROM f LEFT JOIN w USING (doc_id)),
+y AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((noise + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM x),
+z AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM y WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 25 * n // 100 THEN r END AS rank FROM y LEFT JOIN z USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op7_warc": OP7_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op7_warc": OP7_SQL, "op11_importance_resampling": OP11_SQL}
