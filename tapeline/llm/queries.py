@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeline.llm import exact_dedup, html_extraction, importance, langid, mixing, near_dedup, packing, pii, quality, toxicity, warc
+from tapeline.llm import decontamination, exact_dedup, html_extraction, importance, langid, mixing, near_dedup, packing, pii, quality, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -112,5 +116,19 @@ SELECT doc_id, n_features, weight, score, CASE WHEN r <= 25 * n // 100 THEN r EN
 """
 
 
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+z AS (SELECT item_id, w, least(10, len(w)) AS size FROM b WHERE len(w) > 0),
+k AS (SELECT item_id, w, size, unnest(range(len(w) - size + 1)) AS i FROM z),
+iw AS (SELECT DISTINCT item_id, size, array_to_string(w[i + 1 : i + size], ' ') AS win FROM k),
+p AS (SELECT doc_id, w, size, unnest(range(len(w) - size + 1)) AS i FROM d, (SELECT DISTINCT size FROM iw) WHERE len(w) >= size),
+hit AS (SELECT doc_id, i, size, item_id FROM (SELECT doc_id, i, size, array_to_string(w[i + 1 : i + size], ' ') AS win FROM p) JOIN iw USING (size, win)),
+h AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS x FROM hit) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op7_warc": OP7_SQL, "op11_importance_resampling": OP11_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op7_warc": OP7_SQL, "op11_importance_resampling": OP11_SQL, "op13_decontamination": OP13_SQL}
