@@ -155,7 +155,7 @@ def output_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcript.keep_last(rows, "output_path", "page_id")
 
 
-def _selection(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def selection_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Documents with a label are selected already; all documents are chosen now. The text is the key."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id").distinct()
@@ -170,13 +170,13 @@ a AS (SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text), n AS (SE
 
 @query(_SELECTION + "SELECT doc_id, length(text) AS chars FROM n")
 def selection_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    existing, chosen = _selection(spark, sf_dir)
+    existing, chosen = selection_tables(spark, sf_dir)
     return selection.additions(existing, chosen, "text", "doc_id").select("doc_id", F.length("text").cast("long").alias("chars"))
 
 
 @query(_SELECTION + "SELECT doc_id, row_number() OVER (ORDER BY part, doc_id) AS file_index FROM (SELECT doc_id, 0 AS part FROM e UNION ALL SELECT doc_id, 1 AS part FROM n)")
 def selection_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    existing, chosen = _selection(spark, sf_dir)
+    existing, chosen = selection_tables(spark, sf_dir)
     return selection.append(existing, chosen, "text", "doc_id").select("doc_id", "file_index")
 
 
@@ -232,7 +232,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.split_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
 
 
-_ROUTED = f"""
+ROUTED = f"""
 WITH e AS ({line_sql()}), c AS (SELECT event_id, ts, user_id, trim(line, {_chars(LOG_SPACE)}) AS line FROM e),
 k AS (SELECT *, contains(line, '%|') OR contains(line, 'frames/s]') OR contains(line, 'it/s]') AS progress, lower(line) AS low,
   regexp_extract(line, '(?:^|[^0-9])([0-9]{{1,3}}%)', 1) AS pct, regexp_extract(line, '<([^,\\]]+)', 1) AS eta FROM c),
@@ -243,21 +243,21 @@ r AS (SELECT event_id, ts, user_id, line, CASE WHEN progress THEN 'progress' ELS
 """
 
 
-def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def routed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.routed(logs.split_lines(event_lines(spark, sf_dir), "line")).drop("line_no")
 
 
-@query(_ROUTED + "SELECT event_id, line, route, kind, message FROM r")
+@query(ROUTED + "SELECT event_id, line, route, kind, message FROM r")
 def log_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _routed(spark, sf_dir).select("event_id", "line", "route", "kind", "message")
+    return routed_events(spark, sf_dir).select("event_id", "line", "route", "kind", "message")
 
 
 @query(
-    _ROUTED
+    ROUTED
     + "SELECT event_id, '[' || strftime(ts, '%H:%M:%S') || '] ' || CASE kind WHEN 'success' THEN 'OK' WHEN 'error' THEN 'ERROR' ELSE 'INFO' END || ': ' || message || chr(10) AS formatted FROM r WHERE route = 'log'"
 )
 def log_formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = logs.log_rows(_routed(spark, sf_dir))
+    rows = logs.log_rows(routed_events(spark, sf_dir))
     return rows.select("event_id", loglines.formatted(F.col("ts"), F.col("kind"), F.col("message")).alias("formatted"))
 
 
@@ -271,12 +271,12 @@ def log_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.decoded(table(spark, sf_dir, "events").select("event_id", payload.alias("payload"))).select("event_id", "level", "message")
 
 
-_LATEST = _ROUTED + "SELECT user_id, arg_max(message, event_id) AS message, max(event_id) AS event_id FROM r WHERE route = 'progress' GROUP BY user_id"
+_LATEST = ROUTED + "SELECT user_id, arg_max(message, event_id) AS message, max(event_id) AS event_id FROM r WHERE route = 'progress' GROUP BY user_id"
 
 
 @query(_LATEST)
 def progress_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs.latest(_routed(spark, sf_dir).where("route = 'progress'"), "user_id", "event_id")
+    return logs.latest(routed_events(spark, sf_dir).where("route = 'progress'"), "user_id", "event_id")
 
 
 @query(

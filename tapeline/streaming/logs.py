@@ -38,6 +38,12 @@ def write_both(stream: DataFrame, log_path: str, progress_path: str, checkpoint:
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=POLL)).start()
 
 
+def ready(spark: SparkSession) -> DataFrame:
+    """What a log holds after a reset."""
+    return spark.createDataFrame([("info", "Ready.")], "kind string, message string")
+
+
 def reset_log(spark: SparkSession, path: str) -> None:
-    """One row `Ready.` in place of the log."""
-    spark.createDataFrame([("info", "Ready.")], "kind string, message string").write.mode("overwrite").parquet(path)
+    """One row `Ready.` in place of the log. While it runs, readers of the folder may find nothing; a `VersionedTable` has no
+    such moment."""
+    ready(spark).write.mode("overwrite").parquet(path)
