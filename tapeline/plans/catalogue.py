@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tapeline.functions import loglines, paths
 from tapeline.functions.text import LINE_BREAKS, LOG_SPACE, STRIPPED, clamp, default_text, yaml_quote
 from tapeline.functions.timecode import frames, from_frames, timecode, to_frames
-from tapeline.operators import logs, selection, transcript
+from tapeline.operators import links, logs, selection, transcript
 from tapeline.operators.recognise import recognise
 from tapeline.plans.adapters import event_lines, line_sql, segments, table
 from tapeline.schemas import Settings
@@ -359,7 +359,7 @@ def selection_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
 def documents_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as Markdown files, one a row, read back whole."""
     root = work_path(spark, "documents")
-    write_markdown(transcript_document(spark, sf_dir), root.removeprefix("file://"))
+    write_markdown(transcript_document(spark, sf_dir), root)
     rows = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(root)
     return rows.select(F.concat(F.lit("/out/"), paths.name(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))).alias("output_path"), F.col("value").alias("content"))
 
@@ -390,3 +390,27 @@ def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     log, progress = work_path(spark, "log-table"), work_path(spark, "progress-table")
     write_both(stream, log, progress, work_path(spark, "log-checkpoint"), "user_id", "event_id").awaitTermination()
     return logs.latest(spark.read.parquet(progress), "user_id", "event_id")
+
+
+_FOLLOWED = """
+WITH RECURSIVE l AS (
+  SELECT s_suppkey AS k, CASE WHEN s_suppkey % 30 = 10 THEN least(s_suppkey + 9, (SELECT max(s_suppkey) FROM supplier)) ELSE s_suppkey - 1 END AS t
+  FROM supplier WHERE s_suppkey % 10 <> 0 OR s_suppkey % 30 = 10
+), f(p, k, hops) AS (
+  SELECT p_partkey, 1 + p_partkey % (SELECT count(*) FROM supplier), 0 FROM part
+  UNION ALL SELECT p, t, hops + 1 FROM f JOIN l USING (k) WHERE hops <= 20
+), e AS (SELECT p, arg_max(k, hops) AS k, max(hops) > 20 AS loop FROM f GROUP BY p)
+SELECT p AS p_partkey, CASE WHEN NOT loop THEN '/s/n' || CAST(k AS VARCHAR) || '/p' || CAST(p AS VARCHAR) || '.mp3' END AS resolved, loop FROM e
+"""
+
+
+@query(_FOLLOWED)
+def links_followed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of parts below folders of suppliers that are links to the one before, up to each tenth; some tens run in circles."""
+    k, last = F.col("s_suppkey"), F.lit(table(spark, sf_dir, "supplier").agg(F.max("s_suppkey")).first()[0])
+    at = F.when(k % 30 == 10, F.least(k + 9, last)).otherwise(k - 1)
+    table_ = table(spark, sf_dir, "supplier").where((k % 10 != 0) | (k % 30 == 10))
+    linked = table_.select(F.concat(F.lit("/s/n"), k.cast("string")).alias("link"), F.concat(F.lit("../s/n"), at.cast("string")).alias("target"))
+    n = table(spark, sf_dir, "supplier").count()
+    path = F.concat(F.lit("/./s/n"), (1 + F.col("p_partkey") % n).cast("string"), F.lit("/p"), F.col("p_partkey").cast("string"), F.lit(".mp3"))
+    return links.resolved(table(spark, sf_dir, "part").select("p_partkey", path.alias("path")), linked).select("p_partkey", "resolved", "loop")

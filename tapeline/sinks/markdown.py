@@ -1,69 +1,15 @@
-"""Files named by their row, through the Python data source interface."""
+"""Markdown documents as files, and the sink that keeps nothing."""
 
 from __future__ import annotations
 
-import os
-import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from tapeline.sinks.files import write_files
 
 
-@dataclass
-class Written(WriterCommitMessage):
-    files: int
-
-
-class _Writer(DataSourceWriter):
-    def __init__(self, root: str):
-        self.root = root
-
-    def write(self, rows: Iterator) -> Written:
-        n = 0
-        for row in rows:
-            path = row.output_path
-            if self.root:
-                path = os.path.normpath(os.path.join(self.root, path.lstrip("/")))
-                if os.path.commonpath([os.path.normpath(self.root), path]) != os.path.normpath(self.root):
-                    raise ValueError(f"{row.output_path} is outside {self.root}")
-            os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-            # Written aside under a name of its own and renamed: attempts of one task never mix, the last one stays.
-            aside = f"{path}.{uuid.uuid4().hex}.part"
-            with open(aside, "w", encoding="utf-8", newline="\n") as f:
-                f.write(row.content)
-            os.replace(aside, path)
-            n += 1
-        return Written(n)
-
-    def commit(self, messages: list) -> None: ...
-
-    def abort(self, messages: list) -> None: ...
-
-
-class MarkdownSource(DataSource):
-    """`format("markdown_files")`, option `root`: a folder that all executors mount. Rows: output_path, content."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "markdown_files"
-
-    def schema(self) -> str:
-        return "output_path string, content string"
-
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options.get("root", ""))
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(MarkdownSource)
-
-
-def write_markdown(docs: DataFrame, root: str = "") -> None:
-    """Each document at its path below `root`, parents made, existing files replaced."""
-    register(docs.sparkSession)
-    docs.select("output_path", "content").write.format("markdown_files").option("root", root).mode("append").save()
+def write_markdown(docs: DataFrame, root: str) -> int:
+    """Each document at its path below `root`, a folder of any store: parents made, existing files replaced."""
+    return write_files(docs, root, "output_path", "content")
 
 
 def discard(df: DataFrame) -> None:
