@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tapeline.plans import catalogue
+from tapeline.plans import catalogue, streams  # noqa: F401
 
 REPO = Path(__file__).resolve().parent.parent
 
