@@ -12,18 +12,23 @@ from tapeline.operators.ordering import with_index
 
 
 def first_of_each(df: DataFrame, key: str, index: str) -> DataFrame:
-    """The row of least `index` for each `key`: a partial aggregate, so hot keys cost a row per task."""
-    rest = [c for c in df.columns if c not in (key, index)]
-    got = df.groupBy(key).agg(F.min_by(F.struct(index, *rest), F.col(index)).alias("_row"))
-    return got.select(key, "_row.*").select(*df.columns)
+    """The row of least `index` for each `key`: a partial aggregate, so hot keys cost a row per task. Keys may be long texts:
+    they meet by SHA-256 and travel once."""
+    return _first(df.withColumn("_digest", F.sha2(F.col(key), 256)), index).select(*df.columns)
+
+
+def _first(df: DataFrame, index: str) -> DataFrame:
+    rest = [c for c in df.columns if c != "_digest"]
+    return df.groupBy("_digest").agg(F.min_by(F.struct(*rest), F.col(index)).alias("_row")).select("_digest", "_row.*")
 
 
 def additions(existing: DataFrame, chosen: DataFrame, key: str, index: str, within_batch: bool = True) -> DataFrame:
-    """Rows of `chosen` whose key isn't in `existing`; within a batch the first of a key, unless switched off. Existing keys
-    may be long: their SHA-256 meets those of the new ones."""
-    new = first_of_each(chosen, key, index) if within_batch else chosen
+    """Rows of `chosen` whose key isn't in `existing`; within a batch the first of a key, unless switched off. Keys meet by their
+    SHA-256, on which the first of each are found too, so one shuffle serves both."""
     digest = F.sha2(F.col(key), 256)
-    return new.withColumn("_digest", digest).join(existing.select(digest.alias("_digest")).distinct(), "_digest", "left_anti").drop("_digest")
+    new = chosen.withColumn("_digest", digest)
+    new = _first(new, index) if within_batch else new
+    return new.join(existing.select(digest.alias("_digest")).distinct(), "_digest", "left_anti").select(*chosen.columns)
 
 
 def append(existing: DataFrame, chosen: DataFrame, key: str, index: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.functions import loglines, paths
+from tapeline.functions import kinds, loglines, paths
 from tapeline.functions.text import LINE_BREAKS, LOG_SPACE, STRIPPED, clamp, default_text, yaml_quote
 from tapeline.functions.timecode import frames, from_frames, timecode, to_frames
 from tapeline.operators import links, logs, selection, transcript
@@ -414,3 +414,18 @@ def links_followed(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "supplier").count()
     path = F.concat(F.lit("/./s/n"), (1 + F.col("p_partkey") % n).cast("string"), F.lit("/p"), F.col("p_partkey").cast("string"), F.lit(".mp3"))
     return links.resolved(table(spark, sf_dir, "part").select("p_partkey", path.alias("path")), linked).select("p_partkey", "resolved", "loop")
+
+
+_HEADS = {"524946460000000057415645": "wav", "5249464600000000415649204C495354": "avi", "00000018667479704D344120": "m4a", "0000001866747970": "mp4", "1A45DFA39F4286810142F7810142F2810442F381084282847765626D": "webm", "1A45DFA3": "mkv", "FFFB9064": "mp3", "2D2D2D": None}
+
+
+@query(
+    f"""SELECT p_partkey, CASE p_partkey % {len(_HEADS)} {" ".join(f"WHEN {i} THEN {'NULL' if k is None else repr(k)}" for i, k in enumerate(_HEADS.values()))} END AS kind,
+lower(p_name[-3:]) IN ('wav', 'mp3') AS named FROM part"""
+)
+def media_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds by the first bytes: each part's name is the rest of a file that begins as one of several kinds."""
+    head = F.get(F.array(*map(F.lit, _HEADS)), (F.col("p_partkey") % len(_HEADS)).cast("int"))
+    data = F.concat(F.unhex(head), F.encode("p_name", "UTF-8"))
+    named = F.lower(F.right("p_name", F.lit(3))).isin("wav", "mp3")
+    return table(spark, sf_dir, "part").select("p_partkey", kinds.kind(F.substring(data, 1, kinds.HEAD)).alias("kind"), named.alias("named"))

@@ -7,6 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -43,3 +44,16 @@ def ship(spark: SparkSession) -> None:
             z.write(file, Path(root.name) / file.relative_to(root))
     spark.sparkContext.addPyFile(str(archive))
     _shipped.add(app)
+
+
+def resource(name: str, fallback: str | Path | None = None) -> str | None:
+    """Where a file that a run needs lies, on the driver or in a task: among the files that Spark has given out
+    (`spark.sparkContext.addFile`), else in the folder `fallback`, as in a checkout. None if it is in neither."""
+    try:
+        given = Path(SparkFiles.get(name))
+        if given.exists():
+            return str(given)
+    except Exception:  # outside Spark there are no such files
+        pass
+    own = None if fallback is None else Path(fallback) / name
+    return str(own) if own is not None and own.exists() else None

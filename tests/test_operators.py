@@ -79,7 +79,7 @@ def test_recognise(spark):
             return Stub.__call__(self, path, language)
 
     files = media.from_paths(spark, ["/d/a.mp3", "/d/bad.mp3"])
-    run = lambda: recognise(files, Settings(language="en"), lambda device: Failing())
+    run = lambda: recognise(files, Settings(language="en"), lambda device: Failing(), model="failing")
     got = {r.name: r for r in run().collect()}
     assert got["bad.mp3"].result is None and got["bad.mp3"].error.startswith("OSError: unreadable\nTraceback")
     assert got["a.mp3"].error is None and got["a.mp3"].result.segments[0].text == " en segment 0 of /d/a.mp3 "
@@ -100,8 +100,66 @@ def test_devices(spark):
     with pytest.raises(NotImplementedError):
         first_device(load, ["gpu"])
     files = media.from_paths(spark, ["/d/a.mp3"])
-    assert recognise(files, Settings(), load, ["gpu", "cpu"]).first().device == "cpu"
-    assert "NotImplementedError" in recognise(files, Settings(), load, ["gpu"]).first().error
+    assert recognise(files, Settings(), load, ["tpu", "cpu"], model="any").first().device == "cpu"
+    assert "NotImplementedError" in recognise(files, Settings(), load, ["tpu"], model="any").first().error
+
+
+def test_a_worker_loads_its_model_once(spark, tmp_path):
+    """Over several tasks and jobs: as many loads as workers that answered; the next run finds the models loaded."""
+    class Counted(Stub):
+        def __init__(self):
+            (tmp_path / f"{os.getpid()}-{os.urandom(4).hex()}").touch()
+
+        def __call__(self, path, language):
+            return {"text": str(os.getpid()), "segments": []}
+
+    files = media.from_paths(spark, [f"/d/{i}.mp3" for i in range(64)]).repartition(16)
+    workers = set()
+    for _ in range(3):
+        workers |= {r.result.text for r in recognise(files, Settings(), lambda device: Counted(), model="counted").collect()}
+    loads = [f.name.split("-")[0] for f in tmp_path.iterdir()]
+    assert set(loads) == workers and len(loads) == len(workers) < 48
+
+
+def test_leased_devices(monkeypatch):
+    from pyspark.resource import ResourceInformation
+
+    from tapeline.operators import recognise as module
+
+    assert module.leased(["gpu", "cpu"]) == ["cpu"]
+    task = type("Task", (), {"resources": lambda self: {"gpu": ResourceInformation("gpu", ["2", "5"])}})()
+    monkeypatch.setattr(module.TaskContext, "get", classmethod(lambda cls: task))
+    assert module.leased(["gpu", "cpu"]) == ["gpu:2", "gpu:5", "cpu"]
+
+
+def test_resources_of_a_run(spark, tmp_path):
+    from tapeline.session import resource
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "given.txt").write_text("x")
+    (tmp_path / "own.txt").write_text("y")
+    spark.sparkContext.addFile(str(tmp_path / "a" / "given.txt"))
+    at = str(tmp_path)
+
+    def look(batches):
+        for b in batches:
+            b["found"] = [(lambda p: None if p is None else open(p).read())(resource(n, at)) for n in b["name"]]
+            yield b
+
+    rows = spark.createDataFrame([("given.txt",), ("own.txt",), ("none.txt",)], "name string").mapInPandas(look, "name string, found string").collect()
+    assert {r.name: r.found for r in rows} == {"given.txt": "x", "own.txt": "y", "none.txt": None}
+
+
+def test_media_by_their_first_bytes(spark, tmp_path):
+    wav, mkv = b"RIFF\0\0\0\0WAVEfmt ", bytes.fromhex("1A45DFA3")
+    for name, data in {"a.txt": wav, "b.mp3": b"no sound", "c": mkv, "d.wav": b"", "e": bytes.fromhex("1A45DFA3A342868101428284") + b"webm"}.items():
+        (tmp_path / name).write_bytes(data + b"x" * (200 if data else 0))
+    want = {"a.txt": "wav", "c": "mkv", "e": "webm"}
+    assert {r.name: r.kind for r in media.by_content(media.list_media(spark, str(tmp_path), every_file=True)).collect()} == want
+    plain = media.from_paths(spark, [str(tmp_path / n) for n in ("a.txt", "b.mp3", "gone")])
+    assert {r.name: r.kind for r in media.by_content(plain).collect()} == {"a.txt": "wav"}
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.kinds.link./w", f"file://{tmp_path}")
+    assert {r.name: r.kind for r in media.by_content(media.list_media(spark, "viewfs://kinds/w", every_file=True)).collect()} == want
 
 
 def test_preconditions():
