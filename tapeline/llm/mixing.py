@@ -3,8 +3,9 @@
 1. Sizes. A document's size is its number of words (null text: 0). Sources get weights in turn, by code point, null
    last; the mix is `share` times all words. A target above `most` times its source's size is cut to that, and the
    excess is shared out again by weight, until none is above.
-2. Blocks. A source is cut into blocks of about `block_words` words: a document's block is a hash of its doc_id and text (its
-   key; so rows without a doc_id, or with one that many share, are spread as others are), and block
+2. Blocks. A source is cut into blocks of about `block_words` words: a document's block is a hash of its doc_id and text, and of
+   its number among rows equal in both (its key; so rows without a doc_id, or with one that many share, and equal rows are
+   spread as others are), and block
    numbers are in random order already and any run of them is a permuted draw without replacement. A source's quota of
    draws is: all its blocks once per full pass, then the leading blocks that still fit its target, then a part of the
    next block: its documents from the largest down, each taken where it fits (the one that is left over last is taken
@@ -16,11 +17,12 @@
 
 Everything is a hash of the seed and of keys, so reruns agree. Only tables with a row per source, per block or per
 (source, shard) are windowed or grouped by source; documents meet their block on (source, block), which spreads a source
-of any size. Wide texts are not moved until rows are written.
+of any size. Wide texts are not moved until rows are written. Equal rows are numbered by their place in the files, over sorted
+ranges, so they may be a third of all rows; which of them has which number makes no difference to the mix.
 
-Empty table: no rows. Null or empty texts have size 0 and are never taken by the query; rows that share source, doc_id
-and text have one key, fall in the same block, are weighed together where it is taken in part, and are taken alike. What is
-collected there is at most one block's keys with words, whatever the number of rows.
+Empty table: no rows. Null or empty texts have size 0 and are never taken by the query. Equal rows count each by itself, so a
+source that is one row, again and again, meets its target too. What is collected at a time is at most one block's keys with
+words, whatever the number of rows.
 """
 
 from __future__ import annotations
@@ -30,13 +32,17 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import WORD, every, unit
+from tapeline.llm.common import WORD, every, fresh, unit
+from tapeline.llm.exact_dedup import located
+from tapeline.operators.ordering import with_index
 from tapeline.session import materialise
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
 BLOCK_WORDS, SHARD_WORDS, CHUNK = 1 << 15, 1 << 22, 1024
 SEED = 17
+#: Rows beside the first of equal ones that are broadcast to the texts, at most (24 bytes each); more are joined.
+FEW = 1 << 18
 
 
 def word_count(text: Column) -> Column:
@@ -137,19 +143,34 @@ def split_tree(quotas: DataFrame, depth: int, seed: int = SEED) -> DataFrame:
 
 
 def _key(text: Column) -> Column:
-    """The key of a row (doc_id, text): what its draws go by."""
+    """The key of a row (doc_id, text), the first of its equals: what its draws go by."""
     return F.xxhash64("doc_id", text)
 
 
+def told_apart(sized: DataFrame) -> DataFrame:
+    """`sized` (key, place and others) with a key of its own for each of the rows that share one, and `again` where it isn't the first."""
+    indexed = with_index(sized, "key", "place", name="at")
+    first = indexed.groupBy(F.col("key").alias("f_key")).agg(F.min("at").alias("first"))
+    rows = indexed.join(first.hint("merge"), F.col("key") == F.col("f_key"))
+    again = F.col("at") > F.col("first")
+    own = F.when(again, F.xxhash64("key", F.col("at") - F.col("first"))).otherwise(F.col("key"))
+    return rows.withColumn("again", again).withColumn("key", own).drop("at", "f_key", "first")
+
+
 class Mix:
     """The mix of `docs`: `placed` documents with their blocks, `draws` of the shards, and the `copies` that these draw."""
 
     def __init__(self, docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED):
-        self.docs, self.seed, self.shard_words = docs, seed, shard_words
-        sized = materialise(
-            docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.col("text").cast("string").alias("text"))
-            .select("doc_id", "source", "size", _key(F.col("text")).alias("key")), "mix-sizes"
+        self.seed, self.shard_words = seed, shard_words
+        docs, place = located(docs)
+        rows = materialise(
+            docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.col("text").cast("string").alias("text"), place.alias("place"))
+            .select("doc_id", "source", "size", _key(F.col("text")).alias("key"), "place"), "mix-rows"
         )
+        sized = materialise(told_apart(rows), "mix-sizes")
+        #: Keys of the rows that aren't the first of their equals, by place.
+        self.again = sized.where("again").select(F.col("place").alias("a_place"), F.col("key").alias("a_key"))
+        sized = sized.drop("place", "again")
         by_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
         numbered = by_source.withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
         passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))).otherwise(0)
@@ -258,7 +279,6 @@ class Mix:
 def mix_summary(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken per document, from the copies that the shards drew."""
     made = Mix(docs, **options)
-    # Rows that share source and key share their draws: one number for all of them.
     counts = made.copies().groupBy("source_no", "key").agg(F.countDistinct("pass").alias("n"))
     counts = counts.select(F.col("source_no").alias("c_no"), F.col("key").alias("c_key"), "n")
     joined = made.placed.join(counts, (F.col("source_no") == F.col("c_no")) & (F.col("key") == F.col("c_key")), "left")
@@ -269,9 +289,14 @@ def mix(docs: DataFrame, slices: int = 4, **options) -> DataFrame:
     """The mix itself: the columns of `docs`, each row as often as it was taken, shard by shard in local order.
 
     Draws are joined to the rows by block, so texts are moved once, to their shard (dealt in `slices` of its order)."""
+    docs, place = located(docs)
     made = Mix(docs, **options)
+    name = fresh(docs, "row")
     rows = docs.select(
-        F.struct(*every(docs)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"),
-    ).select("row", "source", F.coalesce(F.col("text").rlike(WORD), F.lit(False)).cast("long").alias("size"), _key(F.col("text")).alias("key"))
+        F.struct(*every(docs)).alias(name), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), place.alias("place")
+    ).select(F.col(name).alias("row"), "source", F.coalesce(F.col("text").rlike(WORD), F.lit(False)).cast("long").alias("size"), _key(F.col("text")).alias("key"), "place")
+    few = made.again.limit(FEW + 1).count() <= FEW
+    again = F.broadcast(made.again) if few else made.again.hint("merge")
+    rows = rows.join(again, F.col("place") == F.col("a_place"), "left").withColumn("key", F.coalesce("a_key", "key")).drop("place", "a_place", "a_key")
     copies = made.copies(made._place(rows)).select("row", "shard", "order_in_shard", F.pmod("order_in_shard", F.lit(slices)).alias("slice"))
     return copies.repartition("shard", "slice").sortWithinPartitions("shard", "slice", "order_in_shard").select("row.*")
