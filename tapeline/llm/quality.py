@@ -4,7 +4,10 @@ Every document gets counts over its whole text (null text: no words): words, cod
 lines, words in repeated 3-word windows, upper-case words. Each rate is taken as log((count + 1/2) / (of + 1)), so that
 a document without any is judged by how much text it has, and a few occurrences in a short text are not a high rate; word length is
 taken as its logarithm. These figures go into KLL sketches, one per (lang, source) and figure. A fence lies `reach`
-interquartile ranges beyond the quartile of the sketch; no fixed cutoff or least spread stands beside it. A source's fence
+interquartile ranges beyond the quartile of the sketch. Most documents have no repeated line at all, so that such a range says
+more about their lengths than about repetition: the fence of a rate also lies no further from the upper quartile than `near`
+of the way to the most that a document can have and pass the base rule (BOUNDS), so each figure can reject. No fixed cutoff or
+least spread stands beside it. A source's fence
 is averaged with its language's, and that with the fence of all documents, weighted by rows with the coarser one as
 `prior` rows: the same rule for a source of three documents and of three billion. A document stays unless a base
 rule fails (under 50 words, or over half of its words in repeated windows) or a figure lies beyond its fence. Null lang
@@ -17,6 +20,7 @@ rows. Repeated rows are judged alike.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +34,9 @@ from tapeline.session import materialise
 #: Each rate: what is counted, and of what.
 RATES = {"symbols": ("n_symbols", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "upper": ("n_upper", "n_words")}
 FIGURES = ("word_length", *RATES)
-REACH, LENGTH_REACH, PRIOR, SKETCH_K = 2.5, 6.0, 20, 1024
+REACH, LENGTH_REACH, NEAR, PRIOR, SKETCH_K = 2.5, 6.0, 0.9, 20, 1024
+#: The most of each rate, as a logarithm: all of it, but half of the words in repeated windows, beyond which the base rule fails.
+BOUNDS = {"symbols": 0.0, "dup_lines": 0.0, "repeats": math.log(0.5), "upper": 0.0}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper")
 
 _SYMBOL = np.zeros(256, bool)
@@ -109,13 +115,14 @@ def _figures() -> dict[str, Column]:
     return {"word_length": F.when(words, F.ln(F.col("word_chars") / F.col("n_words")))} | rates
 
 
-def _fences(sketches: DataFrame, reach: float, length_reach: float) -> DataFrame:
+def _fences(sketches: DataFrame, reach: float, length_reach: float, near: float) -> DataFrame:
     """The sketches' fences, as columns <figure>_min and <figure>_max in place of the sketches."""
     for c in FIGURES:
         sketches = sketches.withColumn(c, F.kll_sketch_get_quantile_double(c, F.array(F.lit(0.25), F.lit(0.75))))
         low, high = F.col(c)[0], F.col(c)[1]
         wide = (length_reach if c == "word_length" else reach) * (high - low)
-        sketches = sketches.withColumn(f"{c}_min", low - wide).withColumn(f"{c}_max", high + wide)
+        most = high + wide if c == "word_length" else F.least(high + wide, high + near * (BOUNDS[c] - high))
+        sketches = sketches.withColumn(f"{c}_min", low - wide).withColumn(f"{c}_max", most)
     return sketches.drop(*FIGURES)
 
 
@@ -123,7 +130,7 @@ def _fences(sketches: DataFrame, reach: float, length_reach: float) -> DataFrame
 SIDES = ("word_length_min", *(f"{c}_max" for c in FIGURES))
 
 
-def thresholds(measured: DataFrame, reach: float = REACH, length_reach: float = LENGTH_REACH, prior: int = PRIOR, k: int = SKETCH_K) -> DataFrame:
+def thresholds(measured: DataFrame, reach: float = REACH, length_reach: float = LENGTH_REACH, near: float = NEAR, prior: int = PRIOR, k: int = SKETCH_K) -> DataFrame:
     """A row per (lang, source): the fences of every figure."""
     figures = measured.select("lang", "source", *(v.cast("double").alias(c) for c, v in _figures().items()))
     groups = materialise(
@@ -131,9 +138,9 @@ def thresholds(measured: DataFrame, reach: float = REACH, length_reach: float =
         .agg(F.count(F.lit(1)).alias("rows"), *(F.kll_sketch_agg_double(c, k).alias(c) for c in FIGURES)),
         "quality-sketches",
     )
-    fences = lambda by: _fences(groups.groupBy(*by).agg(F.sum("rows").alias("rows"), *(F.kll_merge_agg_double(c, k).alias(c) for c in FIGURES)), reach, length_reach)
+    fences = lambda by: _fences(groups.groupBy(*by).agg(F.sum("rows").alias("rows"), *(F.kll_merge_agg_double(c, k).alias(c) for c in FIGURES)), reach, length_reach, near)
     renamed = lambda df, tag: df.select(*(F.col(c).alias(tag + c) for c in df.columns))
-    own, langs, every = _fences(groups, reach, length_reach), renamed(fences(["lang"]), "l_"), renamed(fences([]), "e_")
+    own, langs, every = _fences(groups, reach, length_reach, near), renamed(fences(["lang"]), "l_"), renamed(fences([]), "e_")
     joined = own.join(langs, own.lang.eqNullSafe(F.col("l_lang"))).join(F.broadcast(every), F.lit(True))
     meet = lambda n, fine, coarse: (n * fine + prior * coarse) / (n + prior)
     both = [F.round(meet(F.col("rows"), F.col(c), meet(F.col("l_rows"), F.col(f"l_{c}"), F.col(f"e_{c}"))), 3).alias(c) for c in SIDES]

@@ -65,7 +65,9 @@ def test_fences_against_brute_force(spark):
         figure, end = side.rpartition("_")[::2]
         low, high = np.quantile(figures[figure][rows], [0.25, 0.75], method="inverted_cdf")  # as the sketch defines it
         wide = (x.LENGTH_REACH if figure == "word_length" else x.REACH) * (high - low)
-        return low - wide if end == "min" else high + wide
+        if end == "min" or figure == "word_length":
+            return low - wide if end == "min" else high + wide
+        return min(high + wide, high + x.NEAR * (x.BOUNDS[figure] - high))
 
     got = {(r.t_lang or "null", r.t_source or "null"): r for r in x.thresholds(x.counts(docs)).collect()}
     meet = lambda n, fine, coarse: (n * fine + x.PRIOR * coarse) / (n + x.PRIOR)
@@ -86,5 +88,46 @@ def test_no_fixed_cutoff(spark):
     assert twice > once + 0.2
 
 
+def test_every_fence_can_be_passed(spark):
+    """No fence lies beyond what a document that passes the base rule can have."""
+    fences = x.thresholds(x.counts(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))).collect()
+    assert len(fences) > 50
+    for r in fences:
+        assert all(r[f"{c}_max"] < bound for c, bound in x.BOUNDS.items())
+
+
+def test_each_figure_rejects_alone(spark):
+    """300 documents of a source, some with a symbol, a repeated line, a repeated phrase or a word in capitals; then one document
+    beyond each fence and inside all others."""
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7)))
+
+    def text(lines=20, marks=0, twice=0, loud=0, size=None, phrase=0, width=6):
+        rows = [[word() if size is None else "q" * size + word() for _ in range(width)] for _ in range(lines)]
+        for i in range(marks):
+            rows[i % lines][i // lines] = rows[i % lines][i // lines][:-1] + "#"
+        for i in range(loud):
+            rows[i % lines][i // lines] = rows[i % lines][i // lines].upper()
+        again = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3)]
+        for i in range(phrase):
+            rows[i % lines] += again
+        return "\n".join([" ".join(r) for r in rows] + [again[0]] * twice)
+
+    usual = [text(lines=rng.randint(15, 25), marks=rng.randint(0, 2), twice=rng.choice([0, 0, 2]), loud=rng.randint(0, 2), phrase=rng.choice([0, 0, 2])) for _ in range(300)]
+    odd = {"symbols": text(marks=110), "dup_lines": text(lines=14, width=30, twice=85), "repeats": text(lines=16, phrase=26), "upper": text(loud=110), "word_length": text(size=200)}
+    rows = [(i, t, "en", "a") for i, t in enumerate([*usual, *odd.values()])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in x.judged(docs).collect()}
+    assert sum(got[i].kept for i in range(300)) >= 297
+    measured = x.counts(docs).where("doc_id >= 300").select("doc_id", *(v.alias(c) for c, v in x._figures().items())).collect()
+    fences = x.thresholds(x.counts(docs)).first()
+    for r in measured:
+        name = list(odd)[r.doc_id - 300]
+        beyond = {side.rpartition("_")[0] for side in x.SIDES if (r[side.rpartition("_")[0]] > fences[side] if side.endswith("max") else r[side.rpartition("_")[0]] < fences[side])}
+        assert beyond == {name} and not got[r.doc_id].kept and not got[r.doc_id].base_failed, (name, beyond, r, fences)
+
+
 def test_empty(empty):
     assert x.judged(empty).count() == 0
