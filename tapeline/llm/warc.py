@@ -5,10 +5,12 @@ metadata name the response by WARC-Concurrent-To. Of captures with equal payload
 one with the largest page_id (of equal ones, the later row) is the response; the others are revisit records without
 payload that refer to it. Smaller payloads are all responses.
 
-Records are UTF-8 text, so Spark's text writer makes the files, in any store: a row is a record, and the line separator is
-the two line ends that close a record. Reading takes files whole (`binaryFile`; a file is one write partition, about the
-advisory partition size), unpacks them as a stream, and walks the records by Content-Length, so payloads may hold anything: a
-task holds a compressed file, one record and about 8 MB of output. Assembly joins requests,
+Each record is compressed by itself, as a gzip member, and Spark's text writer makes the files, in any store: it writes a value's
+bytes as they are and a separator after them, so the separator is the member's own last byte. That byte is the highest of the
+record's length, 0 for records under 16 MB; longer ones are followed by an empty member, which ends with 0 too. A task begins
+another file once one has `file_bytes`, whatever the number and length of the records. Reading takes files whole (`binaryFile`),
+unpacks them as a stream, and walks the records by Content-Length, so payloads may hold anything: a task holds a compressed file
+of bounded bytes (or of one record that is longer), one record and about 8 MB of output. Assembly joins requests,
 responses and metadata on the response's record id and emits one nested row per capture; a revisit's payload figures come
 from the response that it refers to. Nothing is grouped by payload but the digests, with partial aggregates; the join back
 to a payload that a third of all captures share is split by adaptive execution.
@@ -23,6 +25,7 @@ import base64
 import gzip
 import hashlib
 import io
+import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
@@ -38,8 +41,8 @@ END, PROFILE = "\r\n", "http://netpreserve.org/warc/1.1/revisit/identical-payloa
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 GZIP = b"\x1f\x8b"
 DATE = "1970-01-01T00:00:00Z"
-#: Records of one archive file at most: a reader holds one compressed file.
-FILE_RECORDS = 60_000
+#: Compressed bytes of one archive file at most: a reader holds one compressed file.
+FILE_BYTES = 1 << 24
 
 
 def base32_sha1(data: Column) -> Column:
@@ -104,10 +107,55 @@ def records(pages: DataFrame, revisit_bytes: int = 0, date: str = DATE) -> DataF
     return joined.select(F.explode(F.array(request, response, metadata)).alias("value"))
 
 
-def write(pages: DataFrame, path: str, file_records: int = FILE_RECORDS, **options) -> None:
-    """Write archives of at most `file_records` records below `path`, each compressed as a whole (fast, at about a third of
-    the size)."""
-    records(pages, **options).write.option("maxRecordsPerFile", file_records).option("lineSep", END + END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
+_EMPTY = gzip.compress(b"", mtime=0)
+
+
+def member(record: bytes) -> bytes:
+    """`record` as gzip that ends with a zero byte."""
+    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+    data = packer.compress(record) + packer.flush()
+    return data if data.endswith(b"\0") else data + _EMPTY
+
+
+def _packed(file_bytes: int):
+    """Each record as a member without its last byte, and the number of the task's file that it goes to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, size, files, members, held = 0, 0, [], [], 0
+        for batch in batches:
+            for value in batch.column("value"):
+                data = member(value.as_buffer().to_pybytes() + (END + END).encode())
+                if size and size + len(data) > file_bytes:
+                    file, size = file + 1, 0
+                size += len(data)
+                held += len(data)
+                files.append(file)
+                members.append(data[:-1])
+                if held > 1 << 23:
+                    yield pa.record_batch([pa.array(files, pa.int32()), pa.array(members, pa.binary())], ["file", "value"])
+                    files, members, held = [], [], 0
+        if files:
+            yield pa.record_batch([pa.array(files, pa.int32()), pa.array(members, pa.binary())], ["file", "value"])
+
+    return run
+
+
+#: Bounds of a write: Arrow batches by bytes, and files of a task that are open at once (so that records aren't sorted by file).
+_WRITING = {"spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 25), "spark.sql.maxConcurrentOutputFileWriters": "64"}
+
+
+def write(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, **options) -> None:
+    """Write archives of at most `file_bytes` (or one longer record) below `path`, a gzip member a record."""
+    spark = pages.sparkSession
+    rows = records(pages, **options).mapInArrow(_packed(file_bytes), "file int, value binary")
+    before = {k: spark.conf.get(k) for k in _WRITING}
+    try:
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
+        rows.select("file", F.col("value").cast("string").alias("value")).write.partitionBy("file").option("lineSep", "\0").text(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def parse(archive: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -164,7 +212,7 @@ def _records(with_blocks: bool):
 
 def read(spark: SparkSession, path: str, with_blocks: bool = True) -> DataFrame:
     """One row per record of the archives below `path`; payload figures for responses."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_records(with_blocks), RECORD)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content").mapInArrow(_records(with_blocks), RECORD)
 
 
 def assemble(rows: DataFrame) -> DataFrame:

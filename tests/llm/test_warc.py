@@ -1,5 +1,8 @@
 import base64
+import gzip
 import hashlib
+import os
+import zlib
 
 from tapeline.llm import warc as x
 
@@ -53,3 +56,32 @@ def test_repeated_rows_have_one_response(spark):
 
 def test_empty(spark):
     assert x.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def archives(folder):
+    return [open(f"{d}/{f}", "rb").read() for d, _, fs in os.walk(folder) for f in fs if f.startswith("part-")]
+
+
+def test_files_are_cut_by_bytes_with_a_member_a_record(spark, tmp_path):
+    """300 pages of 1 MB that don't compress, 16 MB a file; each record is a gzip member, and whole files are plain gzip."""
+    pages = spark.range(0, 300, 1, 30).selectExpr("id AS page_id", "'http://h/' || id AS url", "array_join(transform(sequence(1, 16384), i -> sha2(concat(id, ':', i), 256)), '') AS html")
+    x.write(pages, f"file://{tmp_path}/warc")
+    files = archives(tmp_path / "warc")
+    assert len(files) >= 10 and all(len(f) <= 16 << 20 for f in files)
+    first, members = files[0], 0
+    while first:
+        unpack = zlib.decompressobj(31)
+        record = unpack.decompress(first)
+        assert unpack.eof and record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n")
+        first, members = unpack.unused_data, members + 1
+    assert members == gzip.decompress(files[0]).count(b"WARC-Type: ")
+    rows = x.read(spark, f"file://{tmp_path}/warc", with_blocks=False)
+    assert rows.count() == 900 and rows.where("payload_bytes = 1048576").count() == 300
+
+
+def test_members_end_with_a_zero_byte(spark, tmp_path):
+    for size in (0, 1, 255, 70_000, (1 << 24) - 1, 1 << 24, (1 << 24) + 5):
+        data = x.member(b"a" * size)
+        assert data.endswith(b"\0") and gzip.decompress(data) == b"a" * size
+    big = spark.createDataFrame([(1, "u", "b" * ((1 << 24) + 7)), (2, "u", "c")], SCHEMA)
+    assert sorted((r.page_id, r.payload_bytes) for r in x.round_trip(big).collect()) == [(1, (1 << 24) + 7), (2, 1)]
