@@ -1,4 +1,10 @@
-"""A corpus pipeline of five stages; each one's rows are written as Parquet and read again as the next one's documents."""
+"""A corpus pipeline of five stages; each one's rows are written as Parquet and read again as the next one's documents.
+
+Rows are judged one by one, by their place in the files, whatever their ids. Null, empty and wordless texts have no language
+and go in the first stage, ambiguous ones too; rows that are equal or nearly so leave one row, the first or last by doc_id as
+the operators say; a null doc_id is the smallest to the second stage and linked with nothing in the third; a null source is a source. Columns
+beside those of `documents` are carried along by all stages but the last, whatever their names. An empty table gives an empty table.
+"""
 
 from __future__ import annotations
 

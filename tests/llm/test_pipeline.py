@@ -68,3 +68,34 @@ def test_packing(stages):
 
 def test_run(spark, sf, stages):
     assert corpus_pipeline.run(spark, sf).count() == stages[-1][2].count()
+
+
+def chained(spark, docs, folder):
+    sizes = []
+    for name, stage in corpus_pipeline.STAGES:
+        path = f"file://{folder}/{name}"
+        stage(spark, docs, None).write.parquet(path)
+        docs = spark.read.parquet(path)
+        sizes.append((name, docs.count(), docs.columns))
+    return docs, sizes
+
+
+def test_awkward_rows_pass_through_every_stage(spark, sf, awkward, tmp_path):
+    """Nulls in every column, empty, blank and very long texts, repeated rows, shared ids and clashing names, beside documents
+    of the fixture that the language stage can learn from."""
+    names = [c for c in awkward.columns if c not in ("doc_id", "text", "lang", "source", "a.b", "_metadata")]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source")
+    odd = awkward.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame([(None, None, None, None)] * 2, "doc_id long, text string, lang string, source string"))
+    rows = docs.unionByName(odd).unionByName(odd).selectExpr("*", *(f"'x' AS `{c}`" for c in names))
+    out, sizes = chained(spark, rows, tmp_path)
+    kept = {name: n for name, n, _ in sizes}
+    assert all(columns == rows.columns for name, _, columns in sizes[:-1]) and "sequence_id" in out.columns
+    assert rows.count() > kept["language_id"] > kept["exact_dedup"] >= kept["near_dedup"] > 100
+    once = spark.read.parquet(f"file://{tmp_path}/near_dedup")
+    assert once.where("text is null or trim(text) = ''").count() == 0  # no language
+    assert once.where("length(text) > 100000").count() <= 1 and once.where("lower(text) like 'the cat sat%'").count() == 1
+
+
+def test_an_empty_table_passes_through_every_stage(spark, empty, tmp_path):
+    out, sizes = chained(spark, empty.select("doc_id", "text", "lang", "source"), tmp_path)
+    assert [n for _, n, _ in sizes] == [0] * 5 and out.count() == 0
