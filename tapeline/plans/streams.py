@@ -11,7 +11,7 @@ from tapeline.plans.adapters import event_lines, table
 from tapeline.plans.catalogue import ORACLE, ROUTED, query, routed_events, selection_tables
 from tapeline.session import work_path
 from tapeline.sinks.versioned import VersionedTable
-from tapeline.streaming import latest, pipes
+from tapeline.streaming import latest, pipes, queue
 from tapeline.streaming.logs import ready
 from tapeline.streaming.state import disk_state
 
@@ -89,3 +89,33 @@ def log_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         log.append(rows.where("event_id % 2 = 1").select("kind", "message"), writer="events", batch=0)
     return log.read().groupBy("kind", "message").agg(F.count(F.lit(1)).alias("n"))
+
+
+_QUEUE = """
+WITH q AS (
+  SELECT user_id AS run, event_id AS seq, CASE event_type WHEN 'view' THEN 'status' WHEN 'signup' THEN 'done' ELSE 'log' END AS kind,
+         CASE WHEN event_type <> 'signup' THEN event_type || '|' || CAST(event_id AS VARCHAR) || '|' || CAST(floor(value) AS VARCHAR) END AS payload FROM events
+), s AS (SELECT run, arg_max(payload, seq) FILTER (WHERE kind = 'status') AS p, bool_or(kind = 'done') AS done, max(seq) AS seq, count(*) FILTER (WHERE kind = 'log') AS logged FROM q GROUP BY run)
+SELECT run, substr(p, 1, position('|' IN p) - 1) AS status, substr(p, position('|' IN p) + 1) AS progress, done, seq, logged FROM s
+"""
+
+
+@query(_QUEUE)
+def queue_drained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a queue, drained in two goes with a restart between: each run's status, its progress, and its log rows counted."""
+    source, checkpoint = work_path(spark, "queue"), work_path(spark, "queue-checkpoint")
+    log = VersionedTable(spark, work_path(spark, "queue-log"), queue.LOG.format(run="long"))
+    state = VersionedTable(spark, work_path(spark, "queue-state"), queue.STATE.format(run="long"))
+    event = F.col("event_type")
+    kind = F.when(event == "view", "status").when(event == "signup", "done").otherwise("log")
+    bar, whole = F.lit("|"), F.floor("value").cast("double").cast("string")
+    payload = F.when(event != "signup", F.concat(event, bar, F.col("event_id").cast("string"), bar, whole))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"), kind.alias("kind"), payload.alias("payload"))
+    ends = rows.agg(F.min("seq").alias("a"), F.max("seq").alias("b")).first()
+    late = F.col("seq") > ((ends["a"] or 0) + (ends["b"] or 0)) // 2
+    for part in (rows.where(~late), rows.where(late)):
+        part.write.mode("append").parquet(source)
+        events = spark.readStream.schema(queue.EVENT.format(run="long")).parquet(source)
+        queue.drained(events, log, state, checkpoint, once=True).awaitTermination()
+    counts = log.read().groupBy("run").agg(F.count(F.lit(1)).alias("logged"))
+    return state.read().join(counts, "run", "left").select("run", "status", "progress", "done", "seq", F.coalesce("logged", F.lit(0)).cast("long").alias("logged"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
@@ -66,3 +69,29 @@ class Store:
             return self.move(aside, name, overwrite=False)
         finally:
             self.remove(aside)
+
+
+class Running(ValueError):
+    """A run is going on in that folder."""
+
+
+@contextmanager
+def sole_run(spark: SparkSession, folder: str, stale_after: float = 24 * 3600) -> Iterator[str]:
+    """Hold `folder` for one run: whoever comes meanwhile, from whatever application, gets `Running`. The mark is a small file that
+    only one can make; a run that was killed leaves it, and it counts no longer after `stale_after` seconds."""
+    store, owner = Store(spark, folder), uuid.uuid4().hex
+    mark = f"{store.root}/_running"
+    if store.exists(mark):
+        since, _, by = store.text(mark).partition(" ")
+        if time.time() - float(since) < stale_after:
+            raise Running(f"a run is going on in {folder}, by {by}")
+        # Of several that find the mark stale, the one whose rename succeeds removes it.
+        if store.move(mark, f"{mark}-{by}", overwrite=False):
+            store.remove(f"{mark}-{by}")
+    if not store.put_new(mark, f"{time.time()} {owner}"):
+        raise Running(f"a run is going on in {folder}")
+    try:
+        yield owner
+    finally:
+        if store.exists(mark) and store.text(mark).endswith(owner):
+            store.remove(mark)

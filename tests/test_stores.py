@@ -98,3 +98,44 @@ def test_long_chains_and_circles(spark):
     assert got == {"/c0/a/../b": ("/c500/b", False), "/x": (None, True), "/own/q": (None, True), "relative/./d": ("/home/relative/d", False), "/../..": ("/", False)}
     none = links.resolved(rows, spark.createDataFrame([], "link string, target string"))
     assert {r.path: r.resolved for r in none.collect()}["/c0/a/../b"] == "/c0/b"
+
+
+def test_one_run_at_a_time(spark, store):
+    import threading
+
+    from tapeline.stores import Running, sole_run
+
+    root, local = store
+    with sole_run(spark, f"{root}/run"):
+        with pytest.raises(Running, match="going on"), sole_run(spark, f"{root}/run"):
+            pass
+        with sole_run(spark, f"{root}/another"):
+            pass
+    with pytest.raises(KeyError), sole_run(spark, f"{root}/run"):  # a run that fails leaves no mark
+        raise KeyError
+    entered, both = [], threading.Barrier(4)
+
+    def enter():
+        both.wait()
+        try:
+            with sole_run(spark, f"{root}/race"):
+                entered.append(1)
+                waited.wait(30)
+        except Running:
+            entered.append(0)
+            if len(entered) == 4:
+                waited.set()
+
+    waited = threading.Event()
+    threads = [threading.Thread(target=enter) for _ in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(40)
+    assert sorted(entered) == [0, 0, 0, 1]
+    # the mark of a run that was killed
+    os.makedirs(local / "dead", exist_ok=True)
+    (local / "dead" / "_running").write_text("0 someone")
+    with sole_run(spark, f"{root}/dead"):
+        pass
+    assert not (local / "dead" / "_running").exists()

@@ -180,3 +180,33 @@ def test_upsert_rewrites_changed_buckets_only(spark, tmp_path):
     assert {r.k: r.v for r in table.read().collect()} == {f"k{i}": i for i in range(40)} | {"k3": 300, "new": 1}
     with pytest.raises(ValueError, match="8 buckets"):
         table.upsert(rows(("k3", 1)), "k", buckets=4)
+
+
+def test_a_queue_is_drained_on_a_timer(spark, tmp_path):
+    """Events that arrive while the stream polls: log rows in order, the last status, the end of the run; then nothing more."""
+    import time
+
+    from tapeline.streaming import queue
+
+    source = tmp_path / "queue"
+    schema = queue.EVENT.format(run="string")
+    log, state = VersionedTable(spark, str(tmp_path / "log"), queue.LOG.format(run="string")), VersionedTable(spark, str(tmp_path / "state"), queue.STATE.format(run="string"))
+    spark.createDataFrame([], schema).write.parquet(str(source))
+    running = queue.drained(spark.readStream.schema(schema).parquet(str(source)), log, state, str(tmp_path / "c"), buckets=2)
+    parts = [
+        [("r", 1, "log", "info|Loading a|b"), ("r", 2, "status", "Loading|0/2"), ("other", 3, "log", "error|x")],
+        [("r", 5, "status", "Working|1/2"), ("r", 4, "log", "success|Saved"), ("r", 6, "log", None), ("r", 7, "log", "no bar")],
+        [("r", 8, "done", None)],
+    ]
+    try:
+        for n, part in enumerate(parts):
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(source))
+            until = time.time() + 60
+            while time.time() < until and max((r.seq for r in state.read().collect()), default=0) < max(p[1] for p in part):
+                time.sleep(0.3)
+            rows = {r.run: (r.status, r.progress, r.done) for r in state.read().collect()}
+            assert rows["r"] == [("Loading", "0/2", False), ("Working", "1/2", False), ("Working", "1/2", True)][n]
+    finally:
+        running.stop()
+    assert rows["other"] == (None, None, False)
+    assert [(r.seq, r.level, r.message) for r in log.read().where("run = 'r'").orderBy("seq").collect()] == [(1, "info", "Loading a|b"), (4, "success", "Saved")]
