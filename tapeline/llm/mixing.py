@@ -147,14 +147,21 @@ def _key(text: Column) -> Column:
     return F.xxhash64("doc_id", text)
 
 
-def told_apart(sized: DataFrame) -> DataFrame:
-    """`sized` (key, place and others) with a key of its own for each of the rows that share one, and `again` where it isn't the first."""
-    indexed = with_index(sized, "key", "place", name="at")
+def told_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """`rows` (key, place and others, a written table) without their place, with a key of its own for each of those that share
+    one; and the keys of those that aren't the first of their equals, by place (None: no rows are equal)."""
+    shared = materialise(rows.groupBy(F.col("key").alias("s_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("s_key"), "mix-shared")
+    if shared.isEmpty():
+        return rows.drop("place"), None
+    held = shared.hint("merge")
+    indexed = with_index(rows.join(held, F.col("key") == F.col("s_key"), "left_semi"), "key", "place", name="at")
     first = indexed.groupBy(F.col("key").alias("f_key")).agg(F.min("at").alias("first"))
-    rows = indexed.join(first.hint("merge"), F.col("key") == F.col("f_key"))
-    again = F.col("at") > F.col("first")
-    own = F.when(again, F.xxhash64("key", F.col("at") - F.col("first"))).otherwise(F.col("key"))
-    return rows.withColumn("again", again).withColumn("key", own).drop("at", "f_key", "first")
+    found = indexed.join(first.hint("merge"), F.col("key") == F.col("f_key"))
+    later = F.col("at") > F.col("first")
+    own = F.when(later, F.xxhash64("key", F.col("at") - F.col("first"))).otherwise(F.col("key"))
+    found = materialise(found.withColumn("again", later).withColumn("key", own).drop("at", "f_key", "first"), "mix-equal")
+    apart = rows.join(held, F.col("key") == F.col("s_key"), "left_anti").drop("place").unionByName(found.drop("place", "again"))
+    return materialise(apart, "mix-sizes"), found.where("again").select(F.col("place").alias("a_place"), F.col("key").alias("a_key"))
 
 
 class Mix:
@@ -167,10 +174,7 @@ class Mix:
             docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.col("text").cast("string").alias("text"), place.alias("place"))
             .select("doc_id", "source", "size", _key(F.col("text")).alias("key"), "place"), "mix-rows"
         )
-        sized = materialise(told_apart(rows), "mix-sizes")
-        #: Keys of the rows that aren't the first of their equals, by place.
-        self.again = sized.where("again").select(F.col("place").alias("a_place"), F.col("key").alias("a_key"))
-        sized = sized.drop("place", "again")
+        sized, self.again = told_apart(rows)
         by_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
         numbered = by_source.withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
         passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))).otherwise(0)
@@ -295,8 +299,10 @@ def mix(docs: DataFrame, slices: int = 4, **options) -> DataFrame:
     rows = docs.select(
         F.struct(*every(docs)).alias(name), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), place.alias("place")
     ).select(F.col(name).alias("row"), "source", F.coalesce(F.col("text").rlike(WORD), F.lit(False)).cast("long").alias("size"), _key(F.col("text")).alias("key"), "place")
-    few = made.again.limit(FEW + 1).count() <= FEW
-    again = F.broadcast(made.again) if few else made.again.hint("merge")
-    rows = rows.join(again, F.col("place") == F.col("a_place"), "left").withColumn("key", F.coalesce("a_key", "key")).drop("place", "a_place", "a_key")
+    if made.again is not None:
+        few = made.again.limit(FEW + 1).count() <= FEW
+        again = F.broadcast(made.again) if few else made.again.hint("merge")
+        rows = rows.join(again, F.col("place") == F.col("a_place"), "left").withColumn("key", F.coalesce("a_key", "key")).drop("a_place", "a_key")
+    rows = rows.drop("place")
     copies = made.copies(made._place(rows)).select("row", "shard", "order_in_shard", F.pmod("order_in_shard", F.lit(slices)).alias("slice"))
     return copies.repartition("shard", "slice").sortWithinPartitions("shard", "slice", "order_in_shard").select("row.*")
