@@ -9,7 +9,8 @@ flagged ambiguous.
 
 Training rows: non-null lang, and crc32 of the doc_id as text modulo 3 is not 1. Null text, or none with a letter: `und`,
 score 0. No training rows: `und` for all. Rows are dropped one by one, whatever their doc_id. A null doc_id is never learned from and counts as held out. Empty table: no
-rows. Repeated rows get the same answer. The driver gets one count per language and bucket.
+rows. Repeated rows get the same answer. Of languages with equal loss the first by name counts. The driver gets one count per
+language and bucket.
 """
 
 from __future__ import annotations
