@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
@@ -25,6 +25,11 @@ class Store:
     def path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(name)
 
+    def disk(self) -> str | None:
+        """The root's plain path if the store is a disk (`file:`), which tasks reach without Hadoop too; else None."""
+        uri = self.fs.makeQualified(self.path(self.root)).toUri()
+        return uri.getPath() if uri.getScheme() == "file" else None
+
     def exists(self, name: str) -> bool:
         return self.fs.exists(self.path(name))
 
@@ -58,6 +63,17 @@ class Store:
             raise
         return True
 
+    def move_only(self, folder: str, target: str) -> None:
+        """Rename the one file of `folder`, in one step, replacing what file is at `target`. A plain rename where the name is
+        free: `move` asks for links first."""
+        (found,) = self.fs.listStatus(self.path(folder))
+        source, at = found.getPath(), self.path(target)
+        if not self.fs.isDirectory(at):  # a plain rename would put the file inside
+            with suppress(Py4JJavaError):  # some stores raise, others say no, where a file is in the way
+                if self.fs.rename(source, at):
+                    return
+        self.move(source.toString(), target)
+
     def put_new(self, name: str, text: str) -> bool:
         """Write a small file that appears whole or not at all; False if the name is taken."""
         aside = f"{name}.{uuid.uuid4().hex}.tmp"

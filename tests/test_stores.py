@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tapeline.operators import links
 from tapeline.sinks.files import OutsideRoot, write_files
+from tapeline.stores import Store
 
 
 @pytest.fixture(scope="module")
@@ -32,6 +33,46 @@ def test_files_named_by_rows(spark, store):
     assert write_files(docs.limit(0), f"{root}/none") == 0 and texts(local / "none") == {}
 
 
+def test_files_on_disks_are_made_and_placed_by_tasks(spark, store, tmp_path, monkeypatch):
+    """As on other stores, and the driver renames none; checksums of files that are replaced go."""
+    root, local = store
+    names = ["/x/a b+%41é.md", "x/../y/b=1.md", "z.md", "q/long" + "g" * 200 + ".md", *(f"n/{i}.md" for i in range(300))]
+    docs = spark.createDataFrame([*((n, f"{n}\r\né\n" * (i % 3)) for i, n in enumerate(names)), (None, "x")], "output_path string, content string")
+    assert write_files(docs, f"{root}/both") == len(names)
+    elsewhere = texts(local / "both")
+    assert os.path.exists(local / "both/n/.7.md.crc")
+
+    def refused(*_):
+        raise AssertionError("the driver renames files")
+
+    for f in ("move", "move_only"):
+        monkeypatch.setattr(Store, f, refused, raising=False)
+    assert write_files(docs, f"file://{tmp_path}/o u%20t") == len(names) and texts(tmp_path / "o u%20t") == elsewhere
+    assert os.listdir(tmp_path / "o u%20t/y") == ["b=1.md"] and "_staging" not in " ".join(os.listdir(tmp_path / "o u%20t"))
+    changed = docs.where("output_path like 'n/%'").withColumn("content", F.lit("other\n"))
+    assert write_files(changed, str(local / "both")) == 300
+    assert texts(local / "both") == {k: "other\n" if k.startswith("n/") else v for k, v in elsewhere.items()}
+    assert {r.value for r in spark.read.text(f"{root}/both/n", wholetext=True).collect()} == {"other\n"}
+    with pytest.raises(OutsideRoot):
+        write_files(docs.unionByName(spark.createDataFrame([("../x.md", "y")], docs.schema)), f"file://{tmp_path}/safe")
+    assert texts(tmp_path / "safe") == {}
+
+
+def test_plain_renames_where_they_do(spark, store, monkeypatch):
+    """Other stores: no file that Spark lists, no rename that asks for links; a folder in the way stays."""
+    root, local = store
+    docs = spark.createDataFrame([(f"n/{i}.md", str(i)) for i in range(20)], "output_path string, content string")
+    monkeypatch.setattr(Store, "move", lambda *_: pytest.fail("a plain rename would do"))
+    assert write_files(docs, f"{root}/plain") == 20
+    monkeypatch.undo()
+    assert write_files(docs.withColumn("content", F.lit("new")), f"{root}/plain") == 20  # over those that are there
+    assert set(texts(local / "plain").values()) == {"new\n"}
+    os.makedirs(local / "plain/n/folder.md")
+    with pytest.raises(Exception, match="must both be directories"):
+        write_files(spark.createDataFrame([("n/folder.md", "y")], docs.schema), f"{root}/plain")
+    assert os.listdir(local / "plain/n/folder.md") == [] and len(texts(local / "plain")) == 20
+
+
 @pytest.mark.parametrize("path", ["../x.md", "a/../../x.md", "/", ".", ""])
 def test_files_stay_below_their_root(spark, store, path):
     root, local = store
