@@ -5,6 +5,7 @@ import threading
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tapeline.functions.text import LINE_BREAKS
@@ -54,6 +55,104 @@ def test_lines_of_pipes_cut_anywhere(spark, tmp_path):
     assert not got
 
 
+class Held:
+    """State in plain Python, its calls counted."""
+
+    def __init__(self):
+        self.calls, self.all = 0, {}
+
+    def getValueState(self, name, schema):
+        return Cell(self, self.all.setdefault(name, {}))
+
+    def getMapState(self, name, key, value):
+        return Cell(self, self.all.setdefault(name, {}))
+
+
+class Cell:
+    def __init__(self, held, values):
+        self.held, self.values = held, values
+
+    def _call(self, f, *args):
+        self.held.calls += 1
+        return f(*args)
+
+    get = lambda self: self._call(self.values.get, ())
+    update = lambda self, v: self._call(self.values.__setitem__, (), v)
+    clear = lambda self: self._call(self.values.clear)
+    getValue = lambda self, k: self._call(self.values.__getitem__, k)
+    updateValue = lambda self, k, v: self._call(self.values.__setitem__, k, v)
+    removeKey = lambda self, k: self._call(self.values.pop, k)
+
+
+def cut_up(rng, texts, least, most):
+    rows = []
+    for pipe, text in texts.items():
+        data, at = text.encode(), 0
+        while at < len(data):
+            n = min(rng.randint(least, most), len(data) - at)
+            rows.append(Row(pipe=pipe, at=at, chunk=data[at : at + n]))
+            if rng.random() < 0.2:
+                rows.append(Row(pipe=pipe, at=at, chunk=data[at : at + n + rng.randint(0, 4)]))
+            at += n
+        rows.append(Row(pipe=pipe, at=at, chunk=b""))
+    rng.shuffle(rows)
+    return rows
+
+
+def taken(processor, batches):
+    got = {}
+    for batch in batches:
+        for r in processor.handleInputRows((0,), iter(batch), None):
+            for n, line in enumerate(r.lines, r.first):
+                assert (r.pipe, n) not in got
+                got[r.pipe, n] = line
+    return got
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_pipes_of_a_bucket_that_hold_little_or_much(seed):
+    """Whatever goes from a bucket's value to entries of its own and back, lines are those of the texts, and nothing stays."""
+    rng = random.Random(seed)
+    texts = {i: "".join(rng.choice(["a", "é", "日", "😀", "bcd" * rng.randint(1, 9), "\n", *LINE_BREAKS] if i % 3 else ["x", "日"]) for _ in range(rng.randint(0, 60))) for i in range(8)}
+    rows, held = cut_up(rng, texts, 1, 6), Held()
+    processor = pipes.Reassembler("bigint", held=rng.choice([0, 5, 40]), block=rng.choice([1, 7, 64]))
+    processor.init(held)
+    n = rng.choice([1, 3, 12, len(rows)])
+    assert taken(processor, [*(rows[i::n] for i in range(n)), rows]) == {(p, i): x for p, text in texts.items() for i, x in enumerate(re.split(f"[{LINE_BREAKS}]", text))}
+    assert not held.all["open"] and not held.all["early"] and not held.all["pieces"]
+
+
+def test_calls_for_state_do_not_grow_with_chunks():
+    """A call goes to the JVM and back: a few a bucket and batch, however many pipes and early chunks; a few a large pipe."""
+    rng, few = random.Random(3), []
+    for n in (50, 500):
+        texts, held = {i: "some words\n" * 100 for i in range(n)}, Held()
+        rows, processor = cut_up(rng, texts, 100, 200), pipes.Reassembler("bigint")
+        processor.init(held)
+        assert len(taken(processor, [rows[::2], rows[1::2]])) == 101 * n
+        few.append(held.calls)
+    assert max(few) <= 8
+    rows, held = cut_up(rng, {1: "x" * 1_000_000}, 400, 600), Held()
+    processor = pipes.Reassembler("bigint")
+    processor.init(held)
+    assert taken(processor, [rows[::2], rows[1::2]]) == {(1, 0): "x" * 1_000_000} and held.calls < 100
+
+
+def test_large_pipes_through_stores(spark, tmp_path):
+    """Entries of their own in Spark's state, names of pipes as texts, over restarts."""
+    rng = random.Random(11)
+    texts = {f"p{i}": "".join(rng.choice(["a", "日", "\n"] if i else ["a"]) for _ in range(120)) for i in range(5)}
+    rows = [(r.pipe, r.at, bytearray(r.chunk)) for r in cut_up(rng, texts, 1, 6)]
+    source, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "checkpoint"))
+    for part in range(3):
+        spark.createDataFrame(rows[part::3], pipes.CHUNK.format(pipe="string")).coalesce(1).write.mode("append").parquet(source)
+        with disk_state(spark):
+            stream = pipes.lines(pipes.read_chunks(spark, source, pipe="string"), buckets=2, held=10, block=32)
+            stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.pipe, r.line_no, r.line) for r in spark.read.parquet(out).collect())
+    assert got == sorted((p, i, x) for p, text in texts.items() for i, x in enumerate(text.split("\n")))
+
+
 def test_chunks_of_no_character_and_gaps(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     rows = [("x", 0, bytearray(b"a\xffb\n\xe6")), ("x", 5, bytearray()), ("gap", 3, bytearray(b"b\n")), ("gap", 0, bytearray(b"a"))]
