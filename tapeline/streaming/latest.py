@@ -13,6 +13,10 @@ from tapeline.operators.ordering import with_index
 from tapeline.sinks.versioned import VersionedTable
 from tapeline.streaming.state import disk_state
 
+#: Buckets of keys, and the bytes of a key's digest.
+BUCKETS, WIDTH = 1 << 14, 32
+BUCKET, DIGEST, DIGESTS = "_bucket", "_digest", "_digests"
+
 
 def _fields(df: DataFrame, names: list[str]) -> str:
     kinds = dict(df.dtypes)
@@ -33,7 +37,7 @@ class LastRow(StatefulProcessor):
         self.cell = handle.getValueState("cell", f"{self.fields}, came long, closes long")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = self.cell.get() if self.cell.exists() else None
+        held = self.cell.get()
         *best, came, closes = held if held is not None else (*(None,) * len(self.names), 0, 0)
         at, known, latest = self.names.index(self.order), came, closes
         for row in rows:
@@ -68,38 +72,62 @@ def keep_last(stream: DataFrame, key: str, order: str, time: str | None = None,
 
 
 class FirstSeen(StatefulProcessor):
-    """Emits each key once: of the first batch that has it, the row of least `order`; keys of the initial state never. The state
-    is the key and that order, for ever."""
+    """Emits each key once: of the first batch that has it, the row of least `order`; keys of the initial state never. Each call for
+    state goes to the JVM and back, so a key of the state is a bucket of keys, and its value their digests, one after the other, for
+    ever: two calls a bucket and batch."""
 
-    def __init__(self, order: str):
-        self.order = order
+    def __init__(self, order: str, names: list[str]):
+        self.order, self.names, self.out = order, names, Row(*names)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "at long")
+        self.seen = handle.getValueState("seen", "digests binary")
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.seen.update((-1,))
+        self.seen.update((bytes(initialState[DIGESTS]),))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        if self.seen.exists():
-            return
-        row = min(rows, key=lambda r: r[self.order])
-        self.seen.update((int(row[self.order]),))
-        yield row
+        state = self.seen.get()
+        held = b"" if state is None else bytes(state[0])
+        seen = {held[i : i + WIDTH] for i in range(0, len(held), WIDTH)}
+        best: dict[bytes, Row] = {}
+        for row in rows:
+            digest = bytes(row[DIGEST])
+            if digest not in seen and (digest not in best or row[self.order] < best[digest][self.order]):
+                best[digest] = row
+        if best:
+            self.seen.update((held + b"".join(best),))
+        for row in best.values():
+            yield self.out(*(row[n] for n in self.names))
 
     def close(self) -> None: ...
 
 
-def first_seen(stream: DataFrame, key: str, order: str, known: DataFrame | None = None) -> DataFrame:
-    """Rows of `stream` whose `key` neither `known` (one column) nor an earlier batch had, one a key. Long keys: give their
-    digest as the key. `known` is read when a checkpoint begins, and not again."""
-    first = None if known is None else known.toDF(key).distinct().groupBy(key)
-    return stream.groupBy(key).transformWithState(FirstSeen(order), _fields(stream, stream.columns), "Append", "None", first)
+def first_seen(stream: DataFrame, key: str, order: str, known: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """Rows of `stream` whose `key` neither `known` (one column) nor an earlier batch had, one a key. Keys, as texts, meet by their
+    SHA-256; null is a key. `known` is read when a checkpoint begins, and not again; a checkpoint holds for one number of buckets."""
+
+    def dealt(df: DataFrame, of: str) -> DataFrame:
+        digest = F.coalesce(F.unhex(F.sha2(F.col(of).cast("string"), 8 * WIDTH)), F.unhex(F.lit("00" * WIDTH)))
+        return df.withColumn(DIGEST, digest).withColumn(BUCKET, F.pmod(F.xxhash64(DIGEST), F.lit(buckets)).cast("int"))
+
+    first = None
+    if known is not None:
+        whole = F.unhex(F.array_join(F.collect_set(F.hex(DIGEST)), ""))
+        first = dealt(known.toDF("key"), "key").groupBy(BUCKET).agg(whole.alias(DIGESTS)).groupBy(BUCKET)
+    return dealt(stream, key).groupBy(BUCKET).transformWithState(FirstSeen(order, stream.columns), _fields(stream, stream.columns), "Append", "None", first)
 
 
 def _run(changes: DataFrame, checkpoint: str, mode: str, each: Callable[[DataFrame, int], object], once: bool, poll: str) -> StreamingQuery:
+    def once_run(batch: DataFrame, number: int) -> None:
+        # `each` reads a batch several times, and without this its keys would go through their state each time.
+        batch.persist()
+        try:
+            each(batch, number)
+        finally:
+            batch.unpersist()
+
     with disk_state(changes.sparkSession):
-        writer = changes.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint)
+        writer = changes.writeStream.outputMode(mode).foreachBatch(once_run).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=poll)).start()
 
 
@@ -116,9 +144,8 @@ def upserted(changes: DataFrame, table: VersionedTable, key: str, checkpoint: st
 def selected(chosen: DataFrame, table: VersionedTable, key: str, order: str, checkpoint: str, existing: DataFrame | None = None, once: bool = True, poll: str = "150 milliseconds") -> StreamingQuery:
     """An ordered selection that grows: rows whose `key` isn't selected yet (`existing`: what `table` held at first) are appended to `table` in the order of the batches
     and, within one, of `order`, with a running `file_index`. Keys meet by their SHA-256, which the state keeps; rows without a key are not files and go."""
-    digest, hashed = "_digest", F.sha2(F.col(key).cast("string"), 256)
-    known = None if existing is None else existing.where(F.col(key).isNotNull()).select(hashed)
-    fresh = first_seen(chosen.where(F.col(key).isNotNull()).withColumn(digest, hashed), digest, order, known).drop(digest)
+    known = None if existing is None else existing.where(F.col(key).isNotNull()).select(key)
+    fresh = first_seen(chosen.where(F.col(key).isNotNull()), key, order, known)
 
     def each(batch: DataFrame, number: int) -> None:
         table.appended_after(lambda n: with_index(batch, order, first=n + 1), writer=checkpoint, batch=number)

@@ -227,6 +227,44 @@ def test_selection_in_batches_is_that_of_the_batch(spark, tmp_path):
     assert sorted((r.file_index, r.path, r.i) for r in kept.read().collect()) == sorted((r.file_index, r.path, r.i) for r in want.collect())
 
 
+def test_first_seen_in_a_few_calls_a_bucket():
+    """Two calls for state a bucket and batch, however many keys; what was known, or came before, stays out."""
+    held, processor = Held(), latest.FirstSeen("i", ["i", "k"])
+    processor.init(held)
+    digest = lambda k: k.to_bytes(32, "big")
+    processor.handleInitialState((0,), {"_digests": digest(7) + digest(8)}, None)
+    rows = lambda *pairs: iter([Row(_bucket=0, _digest=bytearray(digest(k)), i=i, k=k) for i, k in pairs])
+    got = [sorted(processor.handleInputRows((0,), rows(*pairs), None)) for pairs in ([(i, i % 500) for i in range(1999, -1, -1)], [(5000, 3), (5002, 600), (5001, 600)], [(9, 600)])]
+    assert got == [[(i, i) for i in range(500) if i not in (7, 8)], [(5001, 600)], []]
+    assert held.calls <= 1 + 3 * 2
+
+
+def test_a_batch_goes_through_its_state_once(spark, tmp_path, monkeypatch):
+    """Indexes and upserts read a batch several times; its keys are asked for once."""
+    import uuid
+
+    def counted(kind):
+        folder = tmp_path / kind.__name__
+        folder.mkdir()
+
+        class Counted(kind):
+            def handleInputRows(self, key, rows, timerValues):
+                open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+                return super().handleInputRows(key, rows, timerValues)
+
+        monkeypatch.setattr(latest, kind.__name__, Counted)
+        return folder
+
+    first, last = counted(latest.FirstSeen), counted(latest.LastRow)
+    rows = [(i, f"p{i}") for i in range(12)]
+    stream = lambda: parts(spark, tmp_path, rows, "i long, path string", [range(12)])
+    kept = VersionedTable(spark, str(tmp_path / "kept"), "i long, path string, file_index long")
+    latest.selected(stream(), kept, "path", "i", str(tmp_path / "c1")).awaitTermination()
+    out = VersionedTable(spark, str(tmp_path / "out"), "path string, i long, overwritten long")
+    latest.upserted(latest.keep_last(stream(), "path", "i"), out, "path", str(tmp_path / "c2"), buckets=3).awaitTermination()
+    assert kept.read().count() == out.read().count() == len(list(first.iterdir())) == len(list(last.iterdir())) == 12
+
+
 def test_readers_see_whole_versions(spark, tmp_path):
     log = VersionedTable(spark, str(tmp_path / "log"), "kind string, message string")
     assert log.read().count() == 0 and log.manifest()["version"] == 0
